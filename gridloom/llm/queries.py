@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as vocabulary
 
-from . import dac, packing, simhash, substring, toxicity, url_filter, warc
+from . import dac, iblt, packing, simhash, substring, toxicity, url_filter, warc
 from .common import table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.version_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.round_trip(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
@@ -46,7 +50,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_codes, op3_substring, op4_warc, op5_simhash, op7_url_rules, op9_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_codes, op3_substring, op4_warc, op5_simhash, op7_url_rules, op9_packing, op10_toxicity)}
 
 ORACLE: dict[str, str] = {
     "op3_substring": r"""
