@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as vocabulary
 
-from . import dac, iblt, packing, simhash, substring, toxicity, url_filter, warc
+from . import chroma, dac, iblt, nbest, packing, simhash, substring, toxicity, url_filter, warc
 from .common import table
 
 
@@ -33,6 +33,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio: each embedding is rendered as a melody."""
+    return chroma.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", every=50, render=True).withColumnRenamed("id", "vec_id")
+
+
 # The rules of the query, as (verdict, host, path).
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -41,6 +46,10 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark, table(spark, sf_dir, "pages"), RULES)
 
 
+def op8_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest.digests(nbest.encode_nbest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, max_len=2048)
 
@@ -50,7 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_codes, op3_substring, op4_warc, op5_simhash, op7_url_rules, op9_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_codes, op3_substring, op4_warc, op5_simhash, op6_chroma, op7_url_rules, op8_nbest, op9_packing, op10_toxicity)}
 
 ORACLE: dict[str, str] = {
     "op3_substring": r"""
