@@ -1,19 +1,6 @@
-"""The registry of reference queries: key -> (spark, sf_dir) callable, and key -> DuckDB SQL."""
+"""All reference queries: importing the modules registers them."""
 
-from __future__ import annotations
+from . import cells, extensions, formulas, sources, text  # noqa: F401
+from .registry import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def subtotal_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.col("l_quantity")
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").agg(F.sum(q).alias("sum_qty"), F.count(q).alias("n"))
-
-
-QUERIES["subtotal_lineitem"] = subtotal_lineitem
+__all__ = ["ORACLE", "QUERIES"]
