@@ -8,9 +8,13 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: With it Spark removes a query's shuffle files when the query is over, not when its objects are collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
@@ -32,10 +36,16 @@ def work_dir(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and returns the table read back.
 
-    It cuts the lineage with files that outlive any executor.
+    It cuts the lineage with files that outlive any executor, and Spark then deletes the shuffle
+    files that led to it.
     """
     spark, path = df.sparkSession, work_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,7 +84,7 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 def text_groups(batches, column: str = "text", most: int = 8 << 20):
     """Splits Arrow batches so that a part holds at most `most` bytes of text, or one row."""
     for b in batches:
-        sizes = np.cumsum(b.column(column).cast(pa.large_binary()).to_pandas().map(lambda x: len(x) if x is not None else 0).to_numpy(dtype=np.int64)) if b.num_rows else np.zeros(0, np.int64)
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < b.num_rows:
             base = sizes[start - 1] if start else 0

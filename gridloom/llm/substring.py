@@ -108,25 +108,21 @@ def _recurring(df: DataFrame, names: list[str]) -> DataFrame:
     return df.repartition(partitions(df.sparkSession), *names).sortWithinPartitions(*names).mapInArrow(run, "row long, at int")
 
 
-def _row_keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row: a key of the document that stands for (id, text); rows equal in both share it."""
-    text = small_text(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row"))
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, copies, n_words, starts array<int>, text) of every document: starts of windows that recur.
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, other, copies, n_words, text, starts array<int>) of the documents without and with recurring windows.
 
     Words are maximal runs without ASCII white space, compared unchanged; a window is `window`
     consecutive words of one document, and it recurs if its word sequence also starts anywhere else,
     overlapping or in the same document included. Null text has no words; a text shorter than a window
-    has no windows. Rows equal in id and text count as that many documents. starts is null where
-    nothing recurs.
+    has no windows. Rows equal in id, text and the carried columns are one row here, with copies.
+    other is a struct of the carried columns. In the first table starts is null, in the second it may be.
     """
     if window <= PERIOD:
         raise ValueError(f"a window needs more than {PERIOD} words")
     spark, anchor = docs.sparkSession, window - PERIOD + 1
-    keyed = _row_keyed(docs, id_col, text_col)
+    other = F.struct(F.lit(0).alias("_"), *[docs[c] for c in carry])
+    keyed = docs.select(docs[id_col].cast("long").alias("doc_id"), small_text(docs[text_col]).alias("text"), other.alias("other"))
+    keyed = keyed.withColumn("row", F.xxhash64("doc_id", "text", "other"))
     cover = np.array(COVER)
 
     def anchors(batches):
@@ -144,85 +140,96 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if hs:
                 yield from _emit([np.concatenate(hs)], np.concatenate(ds), np.concatenate(at), ["h"])
 
-    found = _recurring(keyed.select("row", "text").mapInArrow(anchors, "h long, row long, at int, n byte"), ["h"])
-    shared = materialize(found.groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("anchors")), "anchors")
-    release(spark)
+    def shared_anchors() -> DataFrame:
+        found = _recurring(keyed.select("row", "text").mapInArrow(anchors, "h long, row long, at int, n byte"), ["h"])
+        return materialize(found.groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("anchors")), "anchors")
 
     def candidates(batches):
         for b in text_groups(batches):
             texts, at = b.column("text").to_pylist(), b.column("anchors")
-            n, starts, h1, h2 = [], [], [], []
+            n, starts = [], []
             for i, text in enumerate(texts):
                 w = words_of(text)
                 n.append(len(w))
-                p = at[i].values.to_numpy().astype(np.int64) if at[i].is_valid else np.zeros(0, np.int64)
-                if len(p) and len(w) >= window:
+                if at[i].is_valid and len(w) >= window:
+                    p = at[i].values.to_numpy().astype(np.int64)
                     s = np.zeros(len(w) + 1, np.int64)  # starts whose window holds the anchor
                     np.add.at(s, np.maximum(p - (PERIOD - 1), 0), 1)
                     np.add.at(s, p + 1, -1)
-                    s = np.flatnonzero(np.cumsum(s)[: len(w) - window + 1])
-                    h = word_hashes(w)
-                    starts.append(s.astype(np.int32))
-                    h1.append(window_hashes(h[:, 0], s, window, _B1).view(np.int64))
-                    h2.append(window_hashes(h[:, 1], s, window, _B2).view(np.int64))
+                    starts.append(np.flatnonzero(np.cumsum(s)[: len(w) - window + 1]).astype(np.int32))
                 else:
-                    starts.append(None), h1.append(None), h2.append(None)
-            cols = [b.column("doc_id"), b.column("row"), b.column("copies"), pa.array(n, pa.int32()), pa.array(texts, pa.large_string() if sum(map(len, texts)) > 1 << 28 else pa.string())]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(starts, pa.list_(pa.int32())), pa.array(h1, pa.list_(pa.int64())), pa.array(h2, pa.list_(pa.int64()))], names=["doc_id", "row", "copies", "n_words", "text", "starts", "h1", "h2"])
-
-    # rows equal in id and text are one row with copies from here on, each of its windows recurring
-    once = keyed.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
-    held = once.join(shared, "row", "left").select("doc_id", "row", "copies", "text", "anchors")
-    held = materialize(held.mapInArrow(candidates, "doc_id long, row long, copies long, n_words int, text string, starts array<int>, h1 array<long>, h2 array<long>"), "windows")
+                    starts.append(None)
+            same = [b.column(c) for c in ("doc_id", "other", "row", "copies", "text")]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(n, pa.int32()), pa.array(starts, pa.list_(pa.int32()))], names=["doc_id", "other", "row", "copies", "text", "n_words", "near"])
+
+    def candidate_windows(shared: DataFrame) -> DataFrame:
+        once = keyed.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("other").alias("other"), F.first("text").alias("text"), F.count("*").alias("copies"))
+        rows = once.join(shared, "row", "left").select("doc_id", "other", "row", "copies", "text", "anchors")
+        schema = f"doc_id long, other {dict(keyed.dtypes)['other']}, row long, copies long, text string, n_words int, near array<int>"
+        return materialize(rows.mapInArrow(candidates, schema), "windows")
+
+    shared = shared_anchors()
+    release(spark)  # the anchors' shuffle is over
+    held = candidate_windows(shared)
     drop_table(shared)
     release(spark)
 
     def windows(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                s = b.slice(lo, 256)
-                lists = s.column("h1")
-                size = lists.value_lengths().fill_null(0).to_numpy()
-                flat = [s.column(x).flatten().to_numpy() for x in ("h1", "h2", "starts")]
-                yield from _emit([flat[0].view(np.uint64), flat[1].view(np.uint64)], np.repeat(s.column("row").to_numpy(), size), flat[2], ["h", "g"])
-
-    several = held.where("copies > 1").select("row")
-    again = _recurring(held.where("h1 is not null").select("row", "starts", "h1", "h2").mapInArrow(windows, "h long, g long, row long, at int, n byte"), ["h", "g"])
-    again = again.union(held.join(several, "row", "left_semi").where("starts is not null").select("row", F.explode("starts").alias("at")))
+        for b in text_groups(batches):
+            hs, gs, ds, at = [], [], [], []
+            for row, text, near in zip(b.column("row").to_pylist(), b.column("text").to_pylist(), b.column("near")):
+                h, s = word_hashes(words_of(text)), near.values.to_numpy().astype(np.int64)
+                hs.append(window_hashes(h[:, 0], s, window, _B1))
+                gs.append(window_hashes(h[:, 1], s, window, _B2))
+                ds.append(np.full(len(s), row, np.int64))
+                at.append(s)
+            if hs:
+                yield from _emit([np.concatenate(hs), np.concatenate(gs)], np.concatenate(ds), np.concatenate(at), ["h", "g"])
+
+    suspect, columns = held.where("near is not null"), ["doc_id", "other", "copies", "n_words", "text"]
+    again = _recurring(suspect.select("row", "text", "near").mapInArrow(windows, "h long, g long, row long, at int, n byte"), ["h", "g"])
+    # each window of a row with copies recurs in the copies
+    again = again.union(suspect.where("copies > 1").select("row", F.explode("near").alias("at")))
     lists = again.groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("starts"))
-    return held.select("doc_id", "row", "copies", "n_words", "text").join(lists, "row", "left").select("doc_id", "copies", "n_words", "starts", "text")
+    clean = held.where("near is null").select(*columns, F.lit(None).cast("array<int>").alias("starts"))
+    return clean, suspect.select("row", *columns).join(lists, "row", "left").select(*columns, "starts")
 
 
-def remove_spans(spans: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_removed, text, kept): kept is what is left, joined by one space."""
+def remove_spans(spans: DataFrame, window: int = WINDOW, as_is: bool = False) -> DataFrame:
+    """(doc_id, other, n_words, n_removed, kept): kept is what is left, joined by one space.
+
+    With as_is a text that loses nothing keeps its own white space.
+    """
+    names = ["doc_id", "other", "copies", "n_words", "n_removed", "kept"]
 
     def run(batches):
         for b in text_groups(batches):
             kept, removed = [], []
-            for text, copies, starts in zip(b.column("text").to_pylist(), b.column("copies").to_pylist(), b.column("starts")):
-                w = words_of(text)
+            for text, starts in zip(b.column("text").to_pylist(), b.column("starts")):
+                w, gone = words_of(text), 0
                 if starts.is_valid and len(w) >= window:
                     s = starts.values.to_numpy().astype(np.int64)
                     c = np.zeros(len(w) + 1, np.int64)
                     c[s] += 1
                     c[s + window] -= 1
-                    gone = np.cumsum(c)[:-1] > 0
-                    removed.append(int(gone.sum()))
-                    w = [x for x, g in zip(w, gone.tolist()) if not g]
-                else:
-                    removed.append(0)
-                kept.append(b" ".join(w).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("copies"), b.column("n_words").cast(pa.int64()), pa.array(removed, pa.int64()), b.column("text"), pa.array(kept, b.column("text").type)], names=["doc_id", "copies", "n_words", "n_removed", "text", "kept"])
-
-    done = spans.select("doc_id", "copies", "n_words", "text", "starts").mapInArrow(run, "doc_id long, copies long, n_words long, n_removed long, text string, kept string")
+                    cut = np.cumsum(c)[:-1] > 0
+                    gone = int(cut.sum())
+                    w = [x for x, g in zip(w, cut.tolist()) if not g]
+                removed.append(gone)
+                kept.append(text if as_is and not gone else b" ".join(w).decode("utf-8", "surrogatepass"))
+            same = [b.column(c) for c in names[:3]]
+            yield pa.RecordBatch.from_arrays([*same, b.column("n_words").cast(pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, b.column("text").type)], names=names)
+
+    schema = f"doc_id long, other {dict(spans.dtypes)['other']}, copies long, n_words long, n_removed long, kept string"
+    done = spans.select("doc_id", "other", "copies", "n_words", "text", "starts").mapInArrow(run, schema)
     return done.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_", "copies")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_removed, text, kept) of every row: each word in a recurring window is removed.
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
+    """(doc_id, other, n_words, n_removed, kept) of every row: each word in a recurring window is removed.
 
     Every occurrence goes, the first one included; windows are judged on the input. An empty table
-    gives no rows. See repeated_spans for words, nulls and repeated rows.
+    gives no rows. See repeated_spans for words, nulls, repeated rows and other.
     """
-    return remove_spans(repeated_spans(docs, id_col, text_col, window), window)
-
+    clean, suspect = repeated_spans(docs, id_col, text_col, window, carry)
+    return remove_spans(clean, window, as_is).union(remove_spans(suspect, window, as_is))
