@@ -13,9 +13,17 @@ from tokenizers import Tokenizer  # noqa: E402
 
 #: Words a worker remembers (about 200 bytes each) before it starts anew.
 REMEMBERED = 700_000
-#: Texts in which splitting at single blanks could change the ids: they are encoded whole.
-_WHOLE_SPACED = re.compile(r"\s{3}|\s\s\Z|[^\S \n]|\0")
-_WHOLE_DROPPED = re.compile(r"[^\S \n\t\r\f\v]")
+#: White space other than what str.split takes care of in the "dropped" kind: such texts are encoded whole.
+_ODD_SPACE = re.compile(r"[^\S \n\t\r\f\v]")
+#: A word of Latin letters that are their own NFC, with ASCII signs after it: at most one token run each.
+_SIMPLE = re.compile(r"(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte -> the letter that stands for it in byte-level vocabularies: printable ones are themselves."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 def _kind(path: str) -> str:
@@ -44,37 +52,69 @@ class WordTokenizer:
         self.kind = _kind(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _run(self, run: str) -> bytes:
+        """Ids of a run that the pre-tokenizer leaves in one piece: the library's model alone sees it."""
+        if run not in self.runs:
+            mapped = (run.lower() if self.kind == "dropped" else run).encode().decode("latin1").translate(self.letters)
+            self.runs[run] = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+        return self.runs[run]
+
     def _parts(self, text: str) -> list[str] | None:
-        """Keys of the words: as they stand after a blank; marked by \\0 at the start of the text."""
+        """Keys of the words: as they stand after a blank; marked by \\0 at the start of the text.
+
+        None where splitting at blanks could change the ids.
+        """
+        words = text.split()
         if self.kind == "dropped":
-            return None if _WHOLE_DROPPED.search(text) else text.split()
-        if self.kind == "whole" or _WHOLE_SPACED.search(text):
-            return None
+            return None if _ODD_SPACE.search(text) else words
+        gaps = len(words) - 1
+        if self.kind == "whole" or gaps < 0 or "\0" in text or text.count(" ") + text.count("\n") != gaps or len("".join(words)) != len(text) - gaps:
+            return None  # not single blanks and line ends only
         parts = text.replace("\n", " \n").split(" ")
         parts[0] = "\0" + parts[0]
         return parts
 
+    def _learn(self, keys: list[str]) -> None:
+        others = []
+        for k in keys:
+            first = self.kind == "spaced" and k[:1] == "\0"
+            m = _SIMPLE(k[1:] if first else k)
+            if not m or self.kind == "whole":
+                others.append(k)
+            elif self.kind == "dropped" or m[1] or first:
+                self.known[k] = b"".join([self._run(r) for r in m.groups() if r])
+            else:
+                self.known[k] = self._run(" " + m[2]) + (self._run(m[3]) if m[3] else b"")
+        if others:
+            self.known.update(zip(others, self._ids([self._as_text(k) for k in others])))
+
     def _as_text(self, key: str) -> str:
         if self.kind == "dropped" or key[:1] == "\n":
             return key
         return key[1:] if key[:1] == "\0" else " " + key
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        split = [self._parts(t) for t in texts]
-        new = list({p for parts in split if parts for p in parts if p not in self.known})
-        for lo in range(0, len(new), 4096):
-            keys = new[lo : lo + 4096]
-            self.known.update(zip(keys, self._ids([self._as_text(k) for k in keys])))
-        known = self.known
-        whole = iter(self._ids([t for t, parts in zip(texts, split) if parts is None]))
-        return [next(whole) if parts is None else b"".join([known[p] for p in parts]) for parts in split]
+        if len(self.known) + len(self.runs) > 2 * REMEMBERED:
+            self.known, self.runs = {}, {}
+        get, out = self.known.get, []
+        for text in texts:
+            parts = self._parts(text)
+            if parts is None:
+                out.append(self._ids([text])[0])
+                continue
+            ids = list(map(get, parts))
+            if None in ids:
+                self._learn(list({p for p, x in zip(parts, ids) if x is None}))
+                ids = list(map(get, parts))
+            out.append(b"".join(ids))
+        return out
 
 
 _loaded: dict[str, WordTokenizer] = {}
