@@ -23,8 +23,9 @@ HOP = 256
 LOWEST, HIGHEST = 55.0, 1800.0
 #: Frames that a filter spans at most.
 SPAN = 8
-#: Frames between the three integers of a key.
-STEP = 8
+#: A key is PARTS integers, STEP frames apart, and of each the coarse bits of the filters of full span.
+STEP, PARTS = 8, 4
+COARSE = 0xAAAA0000
 #: Largest share of differing bits of recordings that match, over at least LEAST frames.
 MOST_ERROR = 0.2
 LEAST = 24
@@ -129,8 +130,7 @@ def align(media: DataFrame, id_col: str, samples_col: str, every: int = 50, rend
 
     The first table: (id, class_id, n_frames, fingerprint_crc32, is_query); class_id is the smallest id
     of the class. Queries are the rows whose id is divisible by `every`. The second: (query_class,
-    class_id, offset, error, overlap) of distinct classes that share a key (three integers STEP frames
-    apart), at the offset with most shared keys (the smallest of equals), if at most MOST_ERROR of the
+    class_id, offset, error, overlap) of distinct classes that share a key, at the offset with most shared keys (the smallest of equals), if at most MOST_ERROR of the
     bits differ over LEAST frames or more. Copies are one class, so no group of copies is paired.
     """
     found = materialize(fingerprints(media, id_col, samples_col, render).withColumn("h1", F.xxhash64("fp")), "chroma")
@@ -138,9 +138,10 @@ def align(media: DataFrame, id_col: str, samples_col: str, every: int = 50, rend
     classes = materialize(classes, "classes")
     members = found.select("id", "h1", "crc", F.size("fp").cast("long").alias("n_frames")).join(classes.select("h1", "crc", "class_id"), ["h1", "crc"])
     members = members.select("id", "class_id", "n_frames", F.col("crc").alias("fingerprint_crc32"), F.coalesce(F.col("id") % every == 0, F.lit(False)).alias("is_query"))
-    long = classes.where(F.size("fp") > 2 * STEP)
-    at = F.sequence(F.lit(0), F.size("fp") - 2 * STEP - 1)
-    keys = F.transform(at, lambda i: F.xxhash64(F.get("fp", i), F.get("fp", i + STEP), F.get("fp", i + 2 * STEP)))
+    last = (PARTS - 1) * STEP
+    long = classes.where(F.size("fp") > last).withColumn("coarse", F.transform("fp", lambda x: x.bitwiseAND(F.lit(COARSE).cast("long"))))
+    at = F.sequence(F.lit(0), F.size("fp") - last - 1)
+    keys = F.transform(at, lambda i: F.xxhash64(*[F.get("coarse", i + k * STEP) for k in range(PARTS)]))
     # a held note repeats a key: one place of it in a recording is enough
     posted = long.select("class_id", "asked", F.posexplode(keys).alias("at", "key")).groupBy("class_id", "asked", "key").agg(F.min("at").alias("at"))
     q = posted.where("asked").select(F.col("class_id").alias("query_class"), "key", F.col("at").alias("q_at"))

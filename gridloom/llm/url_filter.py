@@ -123,6 +123,8 @@ def _candidates(urls: DataFrame, labels: list[int], lengths: list[int]) -> DataF
     n = F.size(parts)
     suffixes = [F.when(n >= k, F.array_join(F.slice(parts, F.greatest(n - k + 1, F.lit(1)), k), ".")) for k in labels]
     keys = [F.when(s.isNotNull() & (F.length("path") >= k), F.struct((F.length(s) + k).alias("size"), F.length(s).alias("host_size"), F.concat(s, F.substring("path", 1, k)).alias("key"))) for s in suffixes for k in lengths]
+    if not keys:
+        return urls.withColumn("keys", F.array().cast("array<string>"))
     found = F.reverse(F.array_sort(F.filter(F.array(*keys), lambda x: x.isNotNull())))
     return urls.withColumn("keys", F.transform(found, lambda x: x["key"]))
 
