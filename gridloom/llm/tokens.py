@@ -12,7 +12,7 @@ os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Words a worker remembers (about 200 bytes each) before it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 2_000_000
 #: White space other than what str.split takes care of in the "dropped" kind: such texts are encoded whole.
 _ODD_SPACE = re.compile(r"[^\S \n\t\r\f\v]")
 #: A word of Latin letters that are their own NFC, with ASCII signs after it: at most one token run each.
@@ -59,11 +59,14 @@ class WordTokenizer:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _run(self, run: str) -> bytes:
+    def _model(self, run: str) -> bytes:
         """Ids of a run that the pre-tokenizer leaves in one piece: the library's model alone sees it."""
+        mapped = (run.lower() if self.kind == "dropped" else run).encode().decode("latin1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+
+    def _run(self, run: str) -> bytes:
         if run not in self.runs:
-            mapped = (run.lower() if self.kind == "dropped" else run).encode().decode("latin1").translate(self.letters)
-            self.runs[run] = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+            self.runs[run] = self._model(run)
         return self.runs[run]
 
     def _parts(self, text: str) -> list[str] | None:
@@ -88,10 +91,14 @@ class WordTokenizer:
             m = _SIMPLE(k[1:] if first else k)
             if not m or self.kind == "whole":
                 others.append(k)
-            elif self.kind == "dropped" or m[1] or first:
+            elif self.kind == "spaced" and (m[1] or first):
                 self.known[k] = b"".join([self._run(r) for r in m.groups() if r])
             else:
-                self.known[k] = self._run(" " + m[2]) + (self._run(m[3]) if m[3] else b"")
+                letters = m[2]
+                if letters not in self.known:
+                    self.known[letters] = self._model(" " + letters if self.kind == "spaced" else letters)
+                if m[3] or m[1]:
+                    self.known[k] = self.known[letters] + (self._run(m[3]) if m[3] else b"")
         if others:
             self.known.update(zip(others, self._ids([self._as_text(k) for k in others])))
 
@@ -101,7 +108,7 @@ class WordTokenizer:
         return key[1:] if key[:1] == "\0" else " " + key
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) + len(self.runs) > 2 * REMEMBERED:
+        if len(self.known) + len(self.runs) > REMEMBERED:
             self.known, self.runs = {}, {}
         get, out = self.known.get, []
         for text in texts:
