@@ -20,6 +20,8 @@ SIDE = 5
 #: Passes over the three subtables in one attempt.
 PASSES = 5
 ATTEMPTS = 6
+#: Tasks of an attempt for each shuffle partition: a digest of eight bytes becomes rows of some hundred.
+SPREAD = 3
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -96,7 +98,7 @@ def likeness(sketched: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFram
     sketched: a written table, a row per (h1, h2). pairs: name -> (first column, second column). Two
     empty sides are alike (1.0). Attempts take larger tables for the pairs that got stuck; what the last one leaves is compared digest by digest.
     """
-    n = partitions(sketched.sparkSession)
+    n = SPREAD * partitions(sketched.sparkSession)
     columns = sorted({c for p in pairs.values() for c in p})
     wanted, done = None, []
     for attempt in range(ATTEMPTS):
@@ -168,7 +170,8 @@ def version_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     met = rows.join(given, ["h1", "h2"])
     edited = F.concat(F.expr("left(text, cast(n_chars - take as int))"), F.col("prefix"))
     met = met.select("h1", "h2", "doc_id", "copies", "next_id", "next_copies", "n_chars", "text", edited.alias("edited"), "next")
-    met = met.select("h1", "h2", "doc_id", "copies", "next_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraph_digests(F.col("text")).alias("own"), paragraph_digests(F.col("edited")).alias("edit"), "next")
+    # next_copies is kept so that both sides of the join need the same columns and share one shuffle of the texts
+    met = met.select("h1", "h2", "doc_id", "copies", "next_id", "next_copies", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraph_digests(F.col("text")).alias("own"), paragraph_digests(F.col("edited")).alias("edit"), "next")
     sketched = materialize(met, "digests")
     near = likeness(sketched, {"edited": ("own", "edit"), "next": ("own", "next")})
     sides = near.groupBy("h1", "h2").agg(*[F.max(F.when(F.col("pair") == p, F.struct("first", "second"))).alias(f"d_{p}") for p in ("edited", "next")])
