@@ -8,6 +8,7 @@ the lattice falls into parts that are searched on their own and remembered.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 from array import array
@@ -22,7 +23,8 @@ from .common import small_text, text_groups
 
 MARK = "▁"
 NBEST = 3
-REMEMBERED = 300_000
+#: Words and their parts that a worker remembers, about 400 bytes each.
+REMEMBERED = 900_000
 #: What a character outside the vocabulary costs beyond the worst piece.
 UNKNOWN = 10.0
 
@@ -43,61 +45,78 @@ class Segmenter:
                 self.bytes[raw[0]] = i
             elif not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i)):
                 raw = piece.replace(MARK, " ").encode()
-                self.pieces[piece] = (p.get_score(i), i)
+                self.pieces[piece] = (p.get_score(i), (i,))
                 scores.append(p.get_score(i))
             self.text_of.append(raw)
         self.unk = p.unk_id()
         self.worst = min(scores, default=0.0) - UNKNOWN
-        self.longest = max(map(len, self.pieces), default=1)
+        #: each beginning of a piece: score and ids if it is one itself, else None
+        self.begins = {piece[:k]: None for piece in self.pieces for k in range(1, len(piece))} | self.pieces
         self.joined = {piece[k : k + 2] for piece in self.pieces for k in range(len(piece) - 1)}
         #: whether no piece goes on across the blank before a word
         self.by_blank = not any(x[1] == MARK and x[0] != MARK for x in self.joined)
         self.known: dict[str, list[Found]] = {}
 
-    def _edges(self, s: str, j: int):
+    def _edges(self, s: str, j: int) -> list[tuple]:
         """(end, score, ids) of the lattice's edges from j."""
-        single = False
-        for e in range(j + 1, min(len(s), j + self.longest) + 1):
-            hit = self.pieces.get(s[j:e])
+        found, begins, e, single = [], self.begins, j + 1, False
+        while e <= len(s):
+            hit = begins.get(s[j:e], 0)
+            if hit == 0:
+                break
             if hit:
-                single |= e == j + 1
-                yield e, hit[0], (hit[1],)
+                if e == j + 1:
+                    single = True
+                found.append((e, *hit))
+            e += 1
         if not single:
             raw = s[j].encode("utf-8", "surrogatepass")
-            yield j + 1, self.worst, tuple(self.bytes.get(b, self.unk) for b in raw)
+            found.append((j + 1, self.worst, tuple([self.bytes.get(b, self.unk) for b in raw])))
+        return found
 
     def search(self, s: str) -> list[Found]:
         """The n best segmentations of a part: best scores first, ties in the order of the search."""
-        best, into = [0.0] + [float("-inf")] * len(s), [[] for _ in range(len(s) + 1)]
-        for j in range(len(s)):
-            for e, score, ids in self._edges(s, j):
+        size = len(s)
+        best, into, edges = [0.0] + [float("-inf")] * size, [[] for _ in range(size + 1)], self._edges
+        for j in range(size):
+            here = best[j]
+            for e, score, ids in edges(s, j):
+                reached = here + score
                 into[e].append((j, score, ids))
-                best[e] = max(best[e], best[j] + score)
+                if reached > best[e]:
+                    best[e] = reached
         out, heap, count = [], [(-best[-1], 0, len(s), 0.0, None)], 0
-        while heap and len(out) < self.n:
-            _, _, at, score, path = heapq.heappop(heap)
+        push, pop, n = heapq.heappush, heapq.heappop, self.n
+        while heap:
+            _, _, at, score, path = pop(heap)
             if not at:
                 ids = array("I")
                 while path:
                     ids.extend(path[0])
                     path = path[1]
                 out.append((score, ids.tobytes()))
+                if len(out) == n:
+                    break
                 continue
             for j, edge, ids in into[at]:
                 count -= 1  # of equal totals the latest comes first: straight to the start
-                heapq.heappush(heap, (-(score + edge + best[j]), count, j, score + edge, (ids, path)))
+                reached = score + edge
+                push(heap, (-(reached + best[j]), count, j, reached, (ids, path)))
         return out
 
     def _part(self, s: str) -> list[Found]:
-        if s not in self.known:
-            self.known[s] = self.search(s)
-        return self.known[s]
+        found = self.known.get(s)
+        if found is None:
+            found = self.known[s] = self.search(s)
+        return found
 
     def best_of_all(self, parts: list[list[Found]]) -> list[Found]:
         """The n best ways through parts in a row. Only the n - 1 cheapest single departures from the
         best way can occur in them: any other way is beaten by the best and by each of those alone."""
-        total = sum(p[0][0] for p in parts)
-        cheap = heapq.nsmallest(self.n - 1, ((p[0][0] - a[0], i, k) for i, p in enumerate(parts) for k, a in enumerate(p) if k))
+        total = sum([p[0][0] for p in parts])
+        # the second best of each part first: only parts among those can have a third best that counts
+        second = heapq.nsmallest(self.n - 1, [(p[0][0] - p[1][0], i) for i, p in enumerate(parts) if len(p) > 1])
+        cheap = heapq.nsmallest(self.n - 1, [(parts[i][0][0] - parts[i][k][0], i, k) for _, i in second for k in range(1, len(parts[i]))])
         ways = [(0.0, ())]
         for size in range(1, len(cheap) + 1):
             ways += [(sum(c[0] for c in way), way) for way in combinations(cheap, size) if len({c[1] for c in way}) == size]
@@ -126,12 +145,12 @@ class Segmenter:
             pieces = re.split(f"({MARK})", " " + text)
             parts = [[(self.worst, array("I", [self.bytes.get(b, self.unk) for b in MARK.encode()]).tobytes())] if x == MARK else self._word(x.replace(" ", MARK)) for x in pieces if x]
             return self.best_of_all(parts)
-        words = re.findall(" *[^ ]+| +", " " + text) if "  " in text or text[0] == " " or text[-1] == " " else [" " + w for w in text.split(" ")]
+        words = re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", MARK + text.replace(" ", MARK)) if "  " in text or text[0] == " " or text[-1] == " " else [MARK + w for w in text.split(" ")]
         known, parts = self.known, []
         for w in words:
             found = known.get(w)
             if found is None:
-                found = known[w] = self._word(w.replace(" ", MARK))
+                found = known[w] = self._word(w)
             parts.append(found)
         return self.best_of_all(parts)
 
@@ -147,6 +166,7 @@ _loaded: dict[tuple[str, int], Segmenter] = {}
 def segmenter(path: str, n: int = NBEST) -> Segmenter:
     """This worker's segmenter of a model file."""
     if (path, n) not in _loaded:
+        gc.set_threshold(200_000)  # what is remembered holds no cycles; looking for them often costs a tenth of the time
         _loaded[path, n] = Segmenter(path, n)
     return _loaded[path, n]
 
