@@ -59,7 +59,10 @@ def _emit(keys: list[np.ndarray], doc: np.ndarray, at: np.ndarray, names: list[s
     run = np.cumsum(new) - 1
     again = np.bincount(run)[run] > 1
     n = np.where(new, np.where(again, 2, 1), 0).astype(np.int8)
-    keys[0] = np.where(n == 0, _spread(doc, at), keys[0])
+    # certain rows only need to arrive somewhere: neighbours share a key, and so compress
+    keys = [np.where(n == 0, _spread(doc, at >> 10) if i == 0 else np.uint64(0), k) for i, k in enumerate(keys)]
+    order = np.lexsort((at, doc, n == 0))
+    keys, doc, at, n = [k[order] for k in keys], doc[order], at[order], n[order]
     for lo in range(0, len(doc), 1 << 16):
         s = slice(lo, lo + (1 << 16))
         yield pa.RecordBatch.from_arrays([*(pa.array(k[s].view(np.int64)) for k in keys), pa.array(doc[s]), pa.array(at[s].astype(np.int32)), pa.array(n[s])], names=[*names, "row", "at", "n"])
@@ -180,7 +183,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for row, text, near in zip(b.column("row").to_pylist(), b.column("text").to_pylist(), b.column("near")):
                 h, s = word_hashes(words_of(text)), near.values.to_numpy().astype(np.int64)
                 hs.append(window_hashes(h[:, 0], s, window, _B1))
-                gs.append(window_hashes(h[:, 1], s, window, _B2))
+                gs.append(window_hashes(h[:, 1], s, window, _B2) >> np.uint64(32))  # 96 bits tell windows apart
                 ds.append(np.full(len(s), row, np.int64))
                 at.append(s)
             if hs:
@@ -190,7 +193,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = _recurring(suspect.select("row", "text", "near").mapInArrow(windows, "h long, g long, row long, at int, n byte"), ["h", "g"])
     # each window of a row with copies recurs in the copies
     again = again.union(suspect.where("copies > 1").select("row", F.explode("near").alias("at")))
-    lists = again.groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    lists = materialize(again.groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("starts")), "starts")
     clean = held.where("near is null").select(*columns, F.lit(None).cast("array<int>").alias("starts"))
     return clean, suspect.select("row", *columns).join(lists, "row", "left").select(*columns, "starts")
 
