@@ -6,12 +6,14 @@ choose m - d blocks. Fingerprints meet on these choices; the Hamming distance is
 
 Similarity mode (similar_classes): d = 4 of 64 bits is far stricter than a shingle similarity of
 0.8, where one bit in seven differs. Longer fingerprints are split into so many blocks that a pair
-of that similarity shares one with probability RECALL; pairs that meet are verified on VERIFY_BITS.
+of that similarity shares one with probability RECALL. Pairs that meet and are near on VERIFY_BITS are
+candidates only; rows link by the exact Jaccard similarity of their shingle sets.
 """
 
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -33,6 +35,10 @@ HOT_BROADCAST = 100_000
 #: Chance that a pair just at the similarity asked for shares a block.
 RECALL = 0.99
 VERIFY_BITS = 256
+#: Standard deviations of the Hamming distance that a candidate may lie above the mean of a pair just similar.
+ROOM = 3
+#: Shingles of one part of a large component (8 bytes each).
+PART_SHINGLES = 1 << 19
 
 
 def bit_counts(h: np.ndarray) -> np.ndarray:
@@ -64,36 +70,59 @@ def _more_words(h: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def simhash(text: str | None, shingle: int = 4, words: int = 1) -> np.ndarray:
-    """The fingerprint of one text as 64-bit words, the lowest bits first; zero for a text without words."""
+def shingle_hashes(text: str | None, shingle: int, step: int = 1 << 16):
+    """Hashes of the word shingles in order, repeats included, `step` at a time; none for a text without words."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return np.zeros(words, np.uint64)
+        return
     lengths = np.fromiter(map(len, found), np.int64, len(found))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     joined, h = b" ".join(found), xxhash.xxh64_intdigest
     n = max(1, len(found) - shingle + 1)
-    counts = np.zeros((words, 64), np.int64)
-    step = (1 << 16) // words
     for lo in range(0, n, step):
         hi = min(n, lo + step)
         s, e = starts[lo:hi].tolist(), ends[np.minimum(np.arange(lo, hi) + shingle - 1, len(found) - 1)].tolist()
-        counts += bit_counts(_more_words(np.array([h(joined[i:j], SEED) for i, j in zip(s, e)], dtype=np.uint64), words))
+        yield np.array([h(joined[i:j], SEED) for i, j in zip(s, e)], dtype=np.uint64)
+
+
+def _majority(parts, words: int) -> np.ndarray:
+    counts, n = np.zeros((words, 64), np.int64), 0
+    for h in parts:
+        counts += bit_counts(_more_words(h, words))
+        n += len(h)
     return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8").reshape(words)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
-    """(doc_id, f array of longs) of every row; null text counts as empty, repeated rows stay."""
-    schema = pa.schema([("doc_id", pa.int64()), ("f", pa.list_(pa.int64()))])
+def simhash(text: str | None, shingle: int = 4, words: int = 1) -> np.ndarray:
+    """The fingerprint of one text as 64-bit words, the lowest bits first; zero for a text without words."""
+    return _majority(shingle_hashes(text, shingle, (1 << 16) // words), words)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, sets: bool = False) -> DataFrame:
+    """(doc_id, f array of longs) of every row; null text counts as empty, repeated rows stay.
+
+    sets: also (node, s), the hash of the text's shingle set and the set itself as sorted hashes.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("f", pa.list_(pa.int64()))] + ([("node", pa.int64()), ("s", pa.list_(pa.int64()))] if sets else []))
+
+    def lists(rows: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).view(np.int64)))
 
     def run(batches):
         for b in text_groups(batches):
-            fps = np.concatenate([simhash(t, shingle, words) for t in b.column("text").to_pylist()]).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, words, dtype=np.int32)), pa.array(fps))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], schema=schema)
+            texts = b.column("text").to_pylist()
+            if not texts:
+                continue
+            columns = [b.column("doc_id"), lists([simhash(t, shingle, words) for t in texts])]
+            if sets:
+                found = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, shingle)])) for t in texts]
+                columns += [pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)), lists(found)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), small_text(text_col).alias("text")).mapInArrow(run, "doc_id long, f array<long>")
+    out = "doc_id long, f array<long>" + (", node long, s array<long>" if sets else "")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), small_text(text_col).alias("text")).mapInArrow(run, out)
 
 
 def blocks_for(rows: int) -> int:
@@ -217,25 +246,134 @@ def bit_error(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def set_links(node: np.ndarray, size: np.ndarray, flat: np.ndarray, similarity: float):
+    """Edges that connect the sets (flat, one after the other) of this Jaccard similarity or more, by exact counts."""
+    share = Fraction(similarity).limit_denominator(1000)
+    ends, size = np.cumsum(size), size.astype(np.int64)
+    token = np.unique(flat, return_inverse=True)[1]
+    order = np.argsort(token, kind="stable")
+    holder, of = np.repeat(np.arange(len(node)), size)[order], token[order]
+    start = np.searchsorted(of, np.arange(len(of) + 1))
+    left = np.ones(len(node), bool)
+    todo = indexed = len(node)
+    for first in range(len(node)):
+        if not left[first]:
+            continue
+        left[first], todo, front = False, todo - 1, [first]
+        while front and todo:
+            x = front.pop()
+            if todo < indexed // 2:  # what is reached needs no counts any more
+                keep = left[holder]
+                holder, of, indexed = holder[keep], of[keep], todo
+                start = np.searchsorted(of, np.arange(len(token) + 1))
+            t = token[ends[x] - size[x] : ends[x]]
+            n = start[t + 1] - start[t]
+            at = np.repeat(start[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            shared = np.bincount(holder[at], minlength=len(node))
+            near = np.flatnonzero(left & (shared > 0) & (shared * share.denominator >= share.numerator * (size + size[x] - shared)))
+            if len(near):
+                yield np.full(len(near), node[x]), node[near]
+                left[near], todo = False, todo - len(near)
+                front.extend(near.tolist())
+
+
+def _links_in_runs(similarity: float):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def out(table: pa.Table):
+        if table.num_rows < 2:
+            return
+        node, s = table.column("node").to_numpy(), table.column("s").combine_chunks()
+        size, flat = np.diff(s.offsets.to_numpy()), s.flatten().to_numpy()
+        keys = np.stack([table.column(x).to_numpy() for x in ("comp", "kind", "lo", "hi")], axis=1)
+        first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1), [True]]))
+        at = np.concatenate([[0], np.cumsum(size)])
+        for i, j in zip(first[:-1], first[1:]):
+            for x, y in set_links(node[i:j], size[i:j], flat[at[i] : at[j]], similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], schema=schema)
+
+    def run(batches):
+        kept = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(x).to_numpy() for x in ("comp", "kind", "lo", "hi")], axis=1)
+            last = b.num_rows - int(np.argmax(np.append((keys[::-1] != keys[-1]).any(axis=1), True)))  # the last run may go on
+            before = [kept[0].column(x)[0].as_py() for x in ("comp", "kind", "lo", "hi")] if kept else None
+            if last or (kept and before != keys[0].tolist()):
+                yield from out(pa.Table.from_batches([*kept, b.slice(0, last)]))
+                kept = []
+            kept.append(b.slice(last))
+        if kept:
+            yield from out(pa.Table.from_batches(kept))
+
+    return run
+
+
+def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that connect all nodes of one comp whose sets s have this Jaccard similarity; sets: (comp, node, s).
+
+    A comp that fits one meeting is searched whole. A larger one is dealt into parts, twice by
+    different hashes, which joins what is dense; then the nodes outside its largest class meet all
+    others, part by part. So each pair of classes is searched and no comp is gathered in one task.
+    """
+    spark = sets.sparkSession
+
+    def parts(n: Column, shingles: Column) -> Column:
+        return F.ceil(F.greatest(n / PART, shingles / PART_SHINGLES)).cast("int")
+
+    def meet(rows: DataFrame) -> DataFrame:
+        keys = ["comp", "kind", "lo", "hi"]
+        rows = rows.select("comp", *[F.col(k).cast("int").alias(k) for k in keys[1:]], "node", "s")
+        return rows.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(_links_in_runs(similarity), "a long, b long")
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= HOT_BROADCAST else df
+
+    large = sets.groupBy("comp").agg(parts(F.count("*"), F.sum(F.size("s"))).alias("parts")).where("parts > 1")
+    large = materialize(large, "large")
+    dealt = sets.join(small(large), "comp", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("kind", F.explode(F.when(F.col("parts") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    dealt = dealt.withColumn("lo", F.pmod(F.xxhash64("node", "kind"), "parts")).withColumn("hi", F.col("lo"))
+    links = materialize(meet(dealt), "links")
+    if not large.count():
+        return links
+    rows = sets.join(small(large.select("comp")), "comp").join(connected_components(links), "node", "left").withColumn("class", F.coalesce("root", "node"))
+    rows = materialize(rows.select("comp", "node", "s", "class"), "large_sets")
+    per = rows.groupBy("comp", "class").agg(F.count("*").alias("n"), F.sum(F.size("s")).alias("m"))
+    most = per.groupBy("comp").agg(F.max(F.struct("n", "class", "m")).alias("top"), F.sum("n").alias("n"), F.sum("m").alias("m")).where("n > top.n")
+    most = most.select("comp", F.col("top.class").alias("top"), parts(F.col("top.n"), F.col("top.m")).alias("p"), parts(F.col("n") - F.col("top.n"), F.col("m") - F.col("top.m")).alias("q"))
+    rows = rows.join(small(materialize(most, "most")), "comp").withColumn("inside", F.col("class") == F.col("top"))
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("p")).otherwise(F.col("q"))))
+    p, q = (F.sequence(F.lit(0).cast("long"), F.col(x).cast("long") - 1) for x in ("p", "q"))
+    main = F.transform(F.when(F.col("inside"), q).otherwise(p), lambda j: F.struct(F.lit(2).alias("kind"), F.when(F.col("inside"), F.col("i")).otherwise(j).alias("lo"), F.when(F.col("inside"), j).otherwise(F.col("i")).alias("hi")))
+    rest = F.transform(q, lambda j: F.struct(F.lit(3).alias("kind"), F.least(F.col("i"), j).alias("lo"), F.greatest(F.col("i"), j).alias("hi")))
+    rows = rows.withColumn("to", F.explode(F.when(F.col("inside"), main).otherwise(F.concat(main, rest))))
+    return links.union(meet(rows.select("comp", "to.*", "node", "s")))
+
+
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of every row; rows link at a SimHash similarity of `similarity` or more.
+    """(doc_id, component_id) of every row; rows link at a Jaccard similarity of their shingle sets of `similarity` or more.
 
-    Blocks have 16 to 24 bits by the number of rows, so that chance meetings stay few; there are as
-    many blocks as RECALL needs. Nulls, empty texts and repeated rows: as for simhash_classes.
+    SimHash blocks only find what may link: they have 16 to 24 bits by the number of rows, so that
+    chance meetings stay few, and are as many as RECALL needs; ROOM standard deviations are added to
+    the Hamming distance expected. Components of these candidates are searched by the exact
+    similarity. Nulls, empty texts and repeated rows: as for simhash_classes.
     """
     p = bit_error(similarity)
     bits = min(24, max(16, docs.count().bit_length() - 2))
     per = 64 // bits
     words = max(VERIFY_BITS // 64, math.ceil(math.log(1 - RECALL) / math.log1p(-((1 - p) ** bits)) / per))
-    # a pair just at the similarity errs upwards half of the time: one standard deviation of room
-    most = math.floor(VERIFY_BITS * p + math.sqrt(VERIFY_BITS * p * (1 - p)))
-    fps = materialize(fingerprints(docs, id_col, text_col, shingle, words).withColumn("node", F.xxhash64("f")), "fingerprints")
+    most = math.floor(VERIFY_BITS * p + ROOM * math.sqrt(VERIFY_BITS * p * (1 - p)))
+    fps = materialize(fingerprints(docs, id_col, text_col, shingle, words, sets=True), "fingerprints")
 
     def links(nodes: DataFrame) -> DataFrame:
         keys = [F.shiftrightunsigned(F.col("f")[w], b * bits).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) for w in range(words) for b in range(per)]
-        return close_pairs(nodes, keys, [F.col("f")[i] for i in range(VERIFY_BITS // 64)], most)
+        near = connected_components(close_pairs(nodes, keys, [F.col("f")[i] for i in range(VERIFY_BITS // 64)], most))
+        found = fps.join(near.withColumnRenamed("root", "comp"), "node").groupBy("comp", "node").agg(F.first("s").alias("s"))
+        return similar_sets(materialize(found, "sets"), similarity)
 
-    return _classes(fps, links).select("doc_id", "component_id")
+    return _classes(fps.drop("s"), links).select("doc_id", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

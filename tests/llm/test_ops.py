@@ -292,6 +292,47 @@ def test_similar_classes(spark):
     assert kept.columns == DOCS.replace(",", "").split()[::2] and sorted(x["doc_id"] for x in kept.collect()) == [4 * g for g in range(12)]
 
 
+def shingle_sets(texts, n=5):
+    words = [t.lower().split() for t in texts]
+    return [{" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in words]
+
+
+def test_similar_classes_link_at_the_exact_similarity(spark):
+    """Pairs of all similarities around 0.8: none below links, of those at or above nearly all do."""
+    r, rows = random.Random(7), []
+    for g in range(240):
+        w = [f"{r.randrange(9000)}x" for _ in range(r.choice((60, 200, 400)))]
+        c, edits = list(w), round(len(w) * r.uniform(0.005, 0.045))
+        for k in r.sample(range(len(w)), edits):
+            c[k] = f"edit{k}"
+        rows += [" ".join(w), " ".join(c)]
+    sets = shingle_sets(rows)
+    share = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(rows), 2)]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_classes(make_docs(spark, rows)).collect()}
+    linked = [got[i] == got[i + 1] for i in range(0, len(rows), 2)]
+    assert sum(0.65 <= s < 0.8 for s in share) > 40 and sum(0.8 <= s < 0.85 for s in share) > 20
+    assert not any(x for x, s in zip(linked, share) if s < 0.8)
+    near = [x for x, s in zip(linked, share) if s >= 0.8]
+    assert sum(near) >= 0.97 * len(near)
+
+
+def test_similar_sets_search_large_components(spark, monkeypatch):
+    """Components dealt into parts: the same classes as all pairs give."""
+    monkeypatch.setattr(simhash, "PART", 8)
+    r, sets = random.Random(11), []
+    for g in range(3):
+        base = [r.getrandbits(60) for _ in range(40)]
+        for _ in range(50):
+            sets.append(frozenset(base[: 40 - r.randrange(3)] + [r.getrandbits(60) for _ in range(r.randrange(12))]))
+    sets += [frozenset({1, 2, 3}), frozenset({4})]
+    rows = [(i % 2 if i < 100 else 2, i, sorted(s)) for i, s in enumerate(sets)]
+    links = simhash.similar_sets(spark.createDataFrame(rows, "comp long, node long, s array<long>"), 0.8)
+    roots = {x["node"]: x["root"] for x in components.connected_components(links).collect()}
+    comp = {i: c for c, i, _ in rows}
+    want = plain_components(list(comp), lambda a, b: comp[a] == comp[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    assert {i: roots.get(i, i) for i in comp} == want and len(set(want.values())) > 10
+
+
 # 6 --------------------------------------------------------------------------------------------------
 
 
