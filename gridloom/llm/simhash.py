@@ -102,7 +102,8 @@ def simhash(text: str | None, shingle: int = 4, words: int = 1) -> np.ndarray:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, sets: bool = False) -> DataFrame:
     """(doc_id, f array of longs) of every row; null text counts as empty, repeated rows stay.
 
-    sets: also (node, s), the hash of the text's shingle set and the set itself as sorted hashes.
+    sets: f counts each distinct shingle once, and (node, s) are added: the hash of the text's shingle
+    set and the set itself as sorted hashes.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("f", pa.list_(pa.int64()))] + ([("node", pa.int64()), ("s", pa.list_(pa.int64()))] if sets else []))
 
@@ -115,10 +116,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = b.column("text").to_pylist()
             if not texts:
                 continue
-            columns = [b.column("doc_id"), lists([simhash(t, shingle, words) for t in texts])]
             if sets:
                 found = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, shingle)])) for t in texts]
+                step = (1 << 16) // words
+                columns = [b.column("doc_id"), lists([_majority((x[i : i + step] for i in range(0, len(x), step)), words) for x in found])]
                 columns += [pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)), lists(found)]
+            else:
+                columns = [b.column("doc_id"), lists([simhash(t, shingle, words) for t in texts])]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     out = "doc_id long, f array<long>" + (", node long, s array<long>" if sets else "")

@@ -316,6 +316,20 @@ def test_similar_classes_link_at_the_exact_similarity(spark):
     assert sum(near) >= 0.97 * len(near)
 
 
+def test_similar_classes_count_each_shingle_once(spark):
+    """A line repeated within a text neither joins what is different nor parts what is alike."""
+    r, rows = random.Random(13), []
+    line = " ".join(f"line{k}" for k in range(9))
+    for g in range(20):
+        w = [" ".join(f"{r.randrange(10**6)}x" for _ in range(100)) for _ in range(4)]
+        rows += [" ".join([w[0], *[line] * 20]), " ".join([w[1], *[line] * 20])]  # different texts, one common line
+        rows += [" ".join([w[2], *[line] * 2, w[3]]), " ".join([w[2], *[line] * 20, w[3]])]  # equal sets
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_classes(make_docs(spark, rows)).collect()}
+    assert got == {i: i - (i % 4 == 3) for i in range(len(rows))}
+    f = {x["doc_id"]: tuple(x["f"]) for x in simhash.fingerprints(make_docs(spark, rows), shingle=5, words=4, sets=True).collect()}
+    assert all(f[i] == f[i + 1] for i in range(2, len(rows), 4))
+
+
 def test_similar_sets_search_large_components(spark, monkeypatch):
     """Components dealt into parts: the same classes as all pairs give."""
     monkeypatch.setattr(simhash, "PART", 8)
