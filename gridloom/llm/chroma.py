@@ -23,9 +23,13 @@ HOP = 256
 LOWEST, HIGHEST = 55.0, 1800.0
 #: Frames that a filter spans at most.
 SPAN = 8
-#: A key is PARTS integers, STEP frames apart, and of each the coarse bits of the filters of full span.
-STEP, PARTS = 8, 4
+#: A key is PARTS integers, a step of STEPS frames apart, and of each the coarse bits of the filters of full span.
+STEPS, PARTS = (8, 5), 4
 COARSE = 0xAAAA0000
+#: Places of equal keys, or keys one bit apart, count if at most SIDE of the 64 bits of the other filters differ.
+SIDE = 16
+#: Offsets of a pair that are judged, those with most shared keys first.
+TOP = 3
 #: Largest share of differing bits of recordings that match, over at least LEAST frames.
 MOST_ERROR = 0.2
 LEAST = 24
@@ -125,37 +129,74 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
     return float(wrong) / (32 * (hi - lo)), hi - lo
 
 
+def places(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, side, at) of every place, for each step; of a held note, which repeats a key, its first place."""
+    out = []
+    for family, step in enumerate(STEPS):
+        n = max(0, len(fp) - (PARTS - 1) * step)
+        key, side = np.full(n, family, np.uint64), np.zeros(n, np.uint64)
+        for k in range(PARTS):
+            x = fp[k * step : k * step + n].astype(np.uint64)
+            key |= (x & np.uint64(COARSE)) >> np.uint64(16) << np.uint64(16 * k)
+            side |= (x & np.uint64(0xFFFF)) << np.uint64(16 * k)
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[:n])
+        out.append((key[at], side[at], at))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+#: No change, and each coarse bit of a key changed.
+PROBES = np.array([0] + [1 << (16 * k + b) for k in range(PARTS) for b in range(16) if COARSE >> (16 + b) & 1], np.uint64)
+
+
+def _posted(classes: DataFrame, probe: bool) -> DataFrame:
+    """(class_id, key, side, at) of the places of every class; probe: also with each key one bit apart."""
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 64):
+                s = b.slice(lo, 64)
+                for i, fp in zip(s.column("class_id").to_pylist(), s.column("fp").to_pylist()):
+                    key, side, at = places(np.array(fp, np.int64))
+                    if probe:
+                        key, side, at = (key[:, None] ^ PROBES).ravel(), np.repeat(side, len(PROBES)), np.repeat(at, len(PROBES))
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(key), pa.int64()), pa.array(key.view(np.int64)), pa.array(side.view(np.int64)), pa.array(at.astype(np.int32))], names=["class_id", "key", "side", "at"])
+
+    return classes.select("class_id", "fp").mapInArrow(run, "class_id long, key long, side long, at int")
+
+
 def align(media: DataFrame, id_col: str, samples_col: str, every: int = 50, render: bool = False) -> tuple[DataFrame, DataFrame]:
     """Classes of recordings with equal fingerprints, and matches of query classes against all classes.
 
     The first table: (id, class_id, n_frames, fingerprint_crc32, is_query); class_id is the smallest id
     of the class. Queries are the rows whose id is divisible by `every`. The second: (query_class,
-    class_id, offset, error, overlap) of distinct classes that share a key, at the offset with most shared keys (the smallest of equals), if at most MOST_ERROR of the
-    bits differ over LEAST frames or more. Copies are one class, so no group of copies is paired.
+    class_id, offset, error, overlap) of distinct classes that share a key but for one bit, if at most
+    MOST_ERROR of the bits differ over LEAST frames or more; of the TOP offsets with most shared keys,
+    that with the fewest errors (the smallest of equals). Copies are one class, so no group of copies is paired.
     """
     found = materialize(fingerprints(media, id_col, samples_col, render).withColumn("h1", F.xxhash64("fp")), "chroma")
     classes = found.groupBy("h1", "crc").agg(F.min("id").alias("class_id"), F.first("fp").alias("fp"), F.max(F.coalesce(F.col("id") % every == 0, F.lit(False))).alias("asked"))
     classes = materialize(classes, "classes")
     members = found.select("id", "h1", "crc", F.size("fp").cast("long").alias("n_frames")).join(classes.select("h1", "crc", "class_id"), ["h1", "crc"])
     members = members.select("id", "class_id", "n_frames", F.col("crc").alias("fingerprint_crc32"), F.coalesce(F.col("id") % every == 0, F.lit(False)).alias("is_query"))
-    last = (PARTS - 1) * STEP
-    long = classes.where(F.size("fp") > last).withColumn("coarse", F.transform("fp", lambda x: x.bitwiseAND(F.lit(COARSE).cast("long"))))
-    at = F.sequence(F.lit(0), F.size("fp") - last - 1)
-    keys = F.transform(at, lambda i: F.xxhash64(*[F.get("coarse", i + k * STEP) for k in range(PARTS)]))
-    # a held note repeats a key: one place of it in a recording is enough
-    posted = long.select("class_id", "asked", F.posexplode(keys).alias("at", "key")).groupBy("class_id", "asked", "key").agg(F.min("at").alias("at"))
-    q = posted.where("asked").select(F.col("class_id").alias("query_class"), "key", F.col("at").alias("q_at"))
-    met = q.join(posted.select("class_id", "key", "at"), "key").where("query_class <> class_id")
+    q = _posted(classes.where("asked"), True).select(F.col("class_id").alias("query_class"), "key", F.col("side").alias("q_side"), F.col("at").alias("q_at"))
+    near = F.bit_count(F.col("q_side").bitwiseXOR(F.col("side"))) <= SIDE
+    met = q.join(_posted(classes, False), "key").where("query_class <> class_id").where(near)
     votes = met.groupBy("query_class", "class_id", (F.col("q_at") - F.col("at")).alias("offset")).count()
-    best = votes.groupBy("query_class", "class_id").agg(F.max(F.struct("count", (-F.col("offset")).alias("o"))).alias("b")).select("query_class", "class_id", (-F.col("b.o")).alias("offset"))
+    top = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("c"), "offset"))), 1, TOP)
+    best = votes.groupBy("query_class", "class_id").agg(top.alias("top")).select("query_class", "class_id", F.col("top.offset").alias("offsets"))
     pairs = best.join(classes.select(F.col("class_id").alias("query_class"), F.col("fp").alias("a")), "query_class").join(classes.select("class_id", F.col("fp").alias("b")), "class_id")
 
+    def judged(a: np.ndarray, b: np.ndarray, offsets: list[int]) -> tuple[float, int, int]:
+        """(error, offset, overlap) of the best offset; those of too short an overlap come last."""
+        got = [(*bit_errors(a, b, o), o) for o in offsets]
+        return min((n < LEAST, e, o, n) for e, n, o in got)[1:]
+
     def run(batches):
         for b in batches:
-            got = [bit_errors(np.array(x), np.array(y), o) for x, y, o in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("offset").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("query_class"), b.column("class_id"), b.column("offset"), pa.array([e for e, _ in got], pa.float64()), pa.array([n for _, n in got], pa.int64())], names=["query_class", "class_id", "offset", "error", "overlap"])
+            got = [judged(np.array(x), np.array(y), o) for x, y, o in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("offsets").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("query_class"), b.column("class_id"), *(pa.array([g[i] for g in got], t) for i, t in ((1, pa.int32()), (0, pa.float64()), (2, pa.int64())))], names=["query_class", "class_id", "offset", "error", "overlap"])
 
-    matches = pairs.select("query_class", "class_id", "offset", "a", "b").mapInArrow(run, "query_class long, class_id long, offset int, error double, overlap long")
+    matches = pairs.select("query_class", "class_id", "offsets", "a", "b").mapInArrow(run, "query_class long, class_id long, offset int, error double, overlap long")
     return members, matches.where(f"error <= {MOST_ERROR} and overlap >= {LEAST}")
 
 

@@ -366,6 +366,29 @@ def test_chroma(spark):
     assert chroma.search(df.limit(0), "vec_id", "embedding", render=True).count() == 0
 
 
+def test_chroma_recall(spark):
+    """Against brute force over all offsets: queries with errors up to MOST_ERROR find their recording."""
+    r = np.random.default_rng(4)
+    rows, pairs = [], []
+    for g in range(120):
+        tune = r.normal(0, 0.15, 64)
+        other = tune.copy()
+        change = r.choice(64, int(r.integers(6, 18)), replace=False)
+        other[change] = r.normal(0, 0.15, len(change))
+        rows += [(1000 * g + 1, chroma.melody(list(tune))), (1000 * g, np.concatenate([np.zeros(1024), chroma.melody(list(other)) + r.normal(0, 0.1, 64 * 400)]))]
+        a, b = (chroma.integers(chroma.chroma(x)) for x in (rows[-1][1], rows[-2][1]))
+        error = min(chroma.bit_errors(a, b, o)[0] for o in range(-len(b) + chroma.LEAST, len(a) - chroma.LEAST + 1))
+        if error <= chroma.MOST_ERROR:
+            pairs.append((1000 * g, 1000 * g + 1, error))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "id long, samples array<double>")
+    got = {(x["query_class"], x["class_id"]): x["error"] for x in chroma.align(df, "id", "samples", every=1000)[1].collect()}
+    assert len(pairs) >= 60 and sum(e > 0.14 for *_, e in pairs) >= 20
+    assert all(e <= chroma.MOST_ERROR for e in got.values())
+    near = [(a, b) in got for a, b, _ in pairs]
+    print(f"recall {sum(near)} of {len(near)}")
+    assert sum(near) >= 0.9 * len(near)
+
+
 # 7 --------------------------------------------------------------------------------------------------
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
