@@ -85,10 +85,10 @@ def find_in_context(df: DataFrame, id_col: str, text: str, needle: str, before:
 
 
 def book_index(docs: DataFrame, id_col: str, text: str, terms: DataFrame) -> DataFrame:
-    """(term, n_docs, docs): documents that contain each word of terms (column term), sorted. Words meet by key, not pairwise."""
+    """(term, id), distinct: every document that contains each word of terms (column term). Words meet by key, not pairwise."""
     words = docs.select(id_col, F.explode(F.array_distinct(tokens(ascii_lower(F.col(text))))).alias("term"))
     hits = words.join(F.broadcast(terms) if terms.count() <= 100_000 else terms, "term")
-    return hits.groupBy("term").agg(F.count("*").alias("n_docs"), F.min(id_col).alias("first_doc"), F.max(id_col).alias("last_doc"))
+    return hits.select("term", id_col).distinct()
 
 
 def script_tag(text: Column) -> Column:

@@ -79,6 +79,13 @@ _TERM = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcd
 @query(f"""WITH b AS (SELECT DISTINCT unnest({_TERM}) AS term FROM benchmark), d AS (SELECT DISTINCT doc_id, unnest({_TERM}) AS term FROM documents)
 SELECT term, count(*) AS n_docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM b JOIN d USING (term) GROUP BY term""")
 def doc_index_terms(t: Tables):
+    terms = t.benchmark.select(F.explode(text.tokens(text.ascii_lower(F.col("text")))).alias("term")).distinct()
+    return text.book_index(t.documents, "doc_id", "text", terms).groupBy("term").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+
+
+@query(f"""WITH b AS (SELECT DISTINCT unnest({_TERM}) AS term FROM benchmark), d AS (SELECT DISTINCT doc_id, unnest({_TERM}) AS term FROM documents)
+SELECT term, doc_id FROM b JOIN d USING (term)""")
+def doc_index_postings(t: Tables):
     terms = t.benchmark.select(F.explode(text.tokens(text.ascii_lower(F.col("text")))).alias("term")).distinct()
     return text.book_index(t.documents, "doc_id", "text", terms)
 

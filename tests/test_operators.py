@@ -108,3 +108,10 @@ def test_hmac_and_context(spark):
     got = [(r["at"], r["line"]) for r in text.find_in_context(df, "id", "text", "needle").orderBy("at").collect()]
     assert got == [(5, 1), (16, 2)]
     assert text.find_in_context(df, "id", "text", "absent").count() == 0
+
+
+def test_book_index_keeps_every_document(spark):
+    docs = spark.createDataFrame([(1, "Ant bee"), (2, "bee ant ANT"), (3, "ant"), (4, "cat"), (5, None)], "doc_id long, text string")
+    terms = spark.createDataFrame([("ant",), ("bee",), ("dog",)], "term string")
+    got = sorted(tuple(r) for r in text.book_index(docs, "doc_id", "text", terms).select("term", "doc_id").collect())
+    assert got == [("ant", 1), ("ant", 2), ("ant", 3), ("bee", 1), ("bee", 2)]
