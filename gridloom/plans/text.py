@@ -117,6 +117,12 @@ def doc_base64(t: Tables):
     return t.documents.select("doc_id", F.regexp_replace(b, r"\s", "").alias("b64"), (F.decode(F.unbase64(b), "UTF-8") == F.left(F.col("text"), F.lit(100))).alias("same"))
 
 
+@query("SELECT doc_id, sha256(base64(encode(text))) AS digest, decode(from_base64(base64(encode(text)))) = text AS same FROM documents")
+def doc_base64_whole(t: Tables):
+    b = F.base64(F.encode("text", "UTF-8"))
+    return t.documents.select("doc_id", F.sha2(F.regexp_replace(b, r"\s", ""), 256).alias("digest"), (F.decode(F.unbase64(b), "UTF-8") == F.col("text")).alias("same"))
+
+
 @query()
 def doc_hmac(t: Tables):
     return t.documents.select("doc_id", solve.hmac_sha256("secret", F.col("text")).alias("signature"))
