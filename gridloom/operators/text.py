@@ -121,6 +121,11 @@ def expand(template: str, fields: dict[str, Column]) -> Column:
     return out
 
 
+def mail_message(to: Column, sender: Column, subject: Column, date: Column, body: Column) -> Column:
+    """A message with its headers, a blank line and the whole body."""
+    return F.concat(F.lit("To: "), to, F.lit("\r\nFrom: "), sender, F.lit("\r\nSubject: "), subject, F.lit("\r\nDate: "), date, F.lit("\r\n\r\n"), body)
+
+
 def strip_markup(html: Column) -> Column:
     return F.regexp_replace(html, r"<[^>]*(>|$)", "")
 

@@ -209,3 +209,10 @@ def doc_autocomplete(t: Tables):
 @query("SELECT doc_id, 'From: ' || source || '@example.com' || chr(13) || chr(10) || 'Subject: ' || left(text, 20) AS head FROM documents")
 def mail_headers(t: Tables):
     return t.documents.select("doc_id", F.concat(F.lit("From: "), "source", F.lit("@example.com\r\nSubject: "), F.left(F.col("text"), F.lit(20))).alias("head"))
+
+
+@query("SELECT doc_id, sha256('To: archive@example.com' || chr(13) || chr(10) || 'From: ' || source || '@example.com' || chr(13) || chr(10) || 'Subject: Document ' || doc_id || chr(13) || chr(10) || 'Date: Thu, 01 Jan 1970 00:00:00 +0000' || chr(13) || chr(10) || chr(13) || chr(10) || text) AS message FROM documents")
+def mail_messages(t: Tables):
+    sender, subject = F.concat("source", F.lit("@example.com")), F.concat(F.lit("Document "), "doc_id")
+    whole = text.mail_message(F.lit("archive@example.com"), sender, subject, F.lit("Thu, 01 Jan 1970 00:00:00 +0000"), F.col("text"))
+    return t.documents.select("doc_id", F.sha2(whole, 256).alias("message"))
