@@ -62,8 +62,8 @@ def grammar_counts(text: Column) -> dict[str, Column]:
     slips = r"(?i)\b(" + "|".join(MISSPELLINGS) + r")\b"
     return {
         "doubled": F.regexp_count(text, F.lit(r"(?i)\b([a-z]+) \1\b")),
-        "a_vowel": F.regexp_count(text, F.lit(r"\b[Aa] [aeiouAEIOU]")),
-        "an_consonant": F.regexp_count(text, F.lit(r"\b[Aa]n [b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z]")),
+        "a_vowel": F.regexp_count(text, F.lit(r"(?<![A-Za-z0-9_])[Aa] [aeiouAEIOU]")),
+        "an_consonant": F.regexp_count(text, F.lit(r"(?<![A-Za-z0-9_])[Aa]n [b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z]")),
         "double_space": F.regexp_count(text, F.lit(r"  +|\.\.")),
         "misspelled": F.regexp_count(text, F.lit(slips)),
     }

@@ -49,6 +49,12 @@ def doc_grammar_aan(t: Tables):
     return t.documents.where("lang = 'en'").select("doc_id", g["a_vowel"].cast("long").alias("a_vowel"), g["an_consonant"].cast("long").alias("an_consonant"))
 
 
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])[Aa] [aeiouAEIOU]'))::BIGINT AS a_vowel, len(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])[Aa]n [b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z]'))::BIGINT AS an_consonant FROM documents")
+def doc_grammar_aan_all(t: Tables):
+    g = text.grammar_counts(F.col("text"))
+    return t.documents.select("doc_id", g["a_vowel"].cast("long").alias("a_vowel"), g["an_consonant"].cast("long").alias("an_consonant"))
+
+
 @query()
 def doc_grammar_doubled(t: Tables):
     g = text.grammar_counts(F.col("text"))
@@ -68,6 +74,15 @@ def doc_find_context(t: Tables):
     return first.select("doc_id", F.col("h.at").cast("long").alias("pos"), F.col("h.line").cast("long").alias("line"), F.col("h.context").alias("context"))
 
 
+@query("""WITH p AS (SELECT doc_id, string_split(text, 'the') AS parts FROM documents WHERE contains(text, 'the')),
+u AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i, len(parts) AS n FROM p),
+h AS (SELECT doc_id, i, n, (sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) + 3 * (i - 1) + 1)::BIGINT AS pos FROM u)
+SELECT doc_id, pos, (length(left(text, pos - 1)) - length(replace(left(text, pos - 1), chr(10), '')) + 1)::BIGINT AS line, md5(substring(text, greatest(pos - 40, 1), least(pos - 1, 40) + 63)) AS context FROM h JOIN documents USING (doc_id) WHERE i < n""")
+def doc_find_hits(t: Tables):
+    hits = text.find_in_context(t.documents, "doc_id", "text", "the")
+    return hits.select("doc_id", F.col("at").cast("long").alias("pos"), F.col("line").cast("long").alias("line"), F.md5("context").alias("context"))
+
+
 @query("SELECT doc_id, (length(text) - length(replace(text, 'the', ''))) // 3 AS n FROM documents WHERE contains(text, 'the')")
 def doc_find_count(t: Tables):
     return text.find_in_context(t.documents, "doc_id", "text", "the").groupBy("doc_id").agg(F.count("*").alias("n"))
