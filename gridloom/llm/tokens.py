@@ -11,8 +11,8 @@ os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel
 
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Words a worker remembers (about 200 bytes each) before it starts anew.
-REMEMBERED = 2_000_000
+#: Words of one generation that a worker remembers (about 200 bytes each); it keeps two generations.
+REMEMBERED = 250_000
 #: White space other than what str.split takes care of in the "dropped" kind: such texts are encoded whole.
 _ODD_SPACE = re.compile(r"[^\S \n\t\r\f\v]")
 #: A word of Latin letters that are their own NFC, with ASCII signs after it: at most one token run each.
@@ -54,6 +54,7 @@ class WordTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -87,6 +88,9 @@ class WordTokenizer:
     def _learn(self, keys: list[str]) -> None:
         others = []
         for k in keys:
+            if k in self.before:
+                self.known[k] = self.before[k]
+                continue
             first = self.kind == "spaced" and k[:1] == "\0"
             m = _SIMPLE(k[1:] if first else k)
             if not m or self.kind == "whole":
@@ -96,7 +100,7 @@ class WordTokenizer:
             else:
                 letters = m[2]
                 if letters not in self.known:
-                    self.known[letters] = self._model(" " + letters if self.kind == "spaced" else letters)
+                    self.known[letters] = self.before.get(letters) or self._model(" " + letters if self.kind == "spaced" else letters)
                 if m[3] or m[1]:
                     self.known[k] = self.known[letters] + (self._run(m[3]) if m[3] else b"")
         if others:
@@ -108,10 +112,11 @@ class WordTokenizer:
         return key[1:] if key[:1] == "\0" else " " + key
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) + len(self.runs) > REMEMBERED:
-            self.known, self.runs = {}, {}
-        get, out = self.known.get, []
+        out = []
         for text in texts:
+            if len(self.known) + len(self.runs) > REMEMBERED:
+                self.known, self.before, self.runs = {}, self.known, {}
+            get = self.known.get
             parts = self._parts(text)
             if parts is None:
                 out.append(self._ids([text])[0])

@@ -43,13 +43,20 @@ def keys_of(token: str) -> tuple[str, ...]:
     return (*words, *{w[:PREFIX] + "-" for w in words if len(w) > PREFIX})
 
 
+#: Tokens that a task remembers, about 150 bytes each, before it starts anew.
+REMEMBERED = 250_000
+
+
 class _Tokens(dict):
-    """token -> (lexicon word, prefix, obfuscated hit, second person, capitals, obfuscated, weight)."""
+    """token -> its place in rows, the different ones of: lexicon word, prefix, obfuscated hit, second person,
+    capitals, obfuscated, weight. Most tokens are plain: the row of zeros, place 0."""
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
+        self.rows, self.places = [(0.0,) * 7], {(0.0,) * 7: 0}
+        self.table = np.array(self.rows)
 
-    def __missing__(self, token: str):
+    def __missing__(self, token: str) -> int:
         lexicon, words = self.lexicon, _LETTERS.findall(token.lower())
         hit = [lexicon[w] for w in words if w in lexicon]
         pre = [lexicon[w[:PREFIX] + "-"] for w in words if len(w) > PREFIX and w[:PREFIX] + "-" in lexicon]
@@ -58,9 +65,11 @@ class _Tokens(dict):
         plain = "".join(c for c in core.lower().translate(SIGNS) if c.isalpha()) if mixed else ""
         hidden = bool(plain) and not hit and plain in lexicon
         row = (float(bool(hit)), float(bool(pre)), float(hidden), float(any(w in SECOND_PERSON for w in words)), float(len(core) > 2 and core.isupper()), float(mixed), max([*hit, *pre, lexicon.get(plain, 0.0) if hidden else 0.0], default=0.0))
-        if len(self) < 500_000:
-            self[token] = row
-        return row
+        place = self.places.setdefault(row, len(self.rows))  # as many as weights of the lexicon, times 64 at most
+        if place == len(self.rows):
+            self.rows.append(row)
+        self[token] = place
+        return place
 
 
 def features(text: str | None, tokens: _Tokens) -> list[float]:
@@ -70,16 +79,24 @@ def features(text: str | None, tokens: _Tokens) -> list[float]:
     if not words:
         return [0.0] * len(FEATURES)
     n = len(words)
-    t = np.array([tokens[w] for w in words])
+    if len(tokens) > REMEMBERED:
+        tokens.clear()
+    place = np.fromiter(map(tokens.__getitem__, words), np.int64, n)
+    if len(tokens.table) < len(tokens.rows):
+        tokens.table = np.array(tokens.rows)
+    at = np.flatnonzero(place)
+    t = tokens.table[place[at]]
     total = t.sum(axis=0)
     bad = (t[:, 0] + t[:, 1] + t[:, 2]) > 0
     near = 0
     if total[3] and bad.any():
-        you = np.concatenate([[0], np.cumsum(t[:, 3])])
-        at = np.flatnonzero(bad)
-        near = int((you[np.minimum(at + NEAR + 1, n)] - you[np.maximum(at - NEAR, 0)] > 0).sum())
+        you = np.zeros(n + 1)
+        you[at + 1] = t[:, 3]
+        you = np.cumsum(you)
+        bad_at = at[bad]
+        near = int((you[np.minimum(bad_at + NEAR + 1, n)] - you[np.maximum(bad_at - NEAR, 0)] > 0).sum())
     marks, signs = sum(map(text.count, "!?")), sum(map(text.count, "%$#&*@"))
-    return [math.log1p(n), total[0] / n, math.log1p(total[0]), total[1] / n, math.log1p(total[1]), total[2] / n, total[3] / n, near / n, total[4] / n, marks / n, signs / n, total[5] / n, total[6] / n, t[:, 6].max()]
+    return [math.log1p(n), total[0] / n, math.log1p(total[0]), total[1] / n, math.log1p(total[1]), total[2] / n, total[3] / n, near / n, total[4] / n, marks / n, signs / n, total[5] / n, total[6] / n, t[:, 6].max(initial=0.0)]
 
 
 @dataclass
