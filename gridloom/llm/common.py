@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Narrow rows of one file, where their number is known beforehand.
+FILE_ROWS = 200_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
@@ -33,13 +37,15 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and returns the table read back.
 
     It cuts the lineage with files that outlive any executor, and Spark then deletes the shuffle
-    files that led to it.
+    files that led to it. rows: about how many narrow rows df has at most; few are written by few tasks.
     """
     spark, path = df.sparkSession, work_dir(df.sparkSession, name)
+    if rows is not None and -(-rows // FILE_ROWS) < partitions(spark):
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -81,7 +87,7 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def text_groups(batches, column: str = "text", most: int = 8 << 20):
+def text_groups(batches, column: str = "text", most: int = 4 << 20):
     """Splits Arrow batches so that a part holds at most `most` bytes of text, or one row."""
     for b in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -5,9 +5,10 @@ differ in at most d bits agree in at least m - d blocks, so they share one of th
 choose m - d blocks. Fingerprints meet on these choices; the Hamming distance is then verified.
 
 Similarity mode (similar_classes): d = 4 of 64 bits is far stricter than a shingle similarity of
-0.8, where one bit in seven differs. Longer fingerprints are split into so many blocks that a pair
-of that similarity shares one with probability RECALL. Pairs that meet and are near on VERIFY_BITS are
-candidates only; rows link by the exact Jaccard similarity of their shingle sets.
+0.8, where one bit in seven differs. Longer fingerprints are split into so many blocks that a pair of
+that similarity shares two blocks near each other with probability block_recall(). Pairs that meet on
+such two blocks and are near on VERIFY_BITS are candidates only; rows link by the exact Jaccard
+similarity of their shingle sets.
 """
 
 from __future__ import annotations
@@ -32,11 +33,18 @@ PART = 2048
 SMALL_RUN = 16
 #: Broadcast the sizes of hot keys up to this many rows (24 bytes each); join them otherwise.
 HOT_BROADCAST = 100_000
-#: Chance that a pair just at the similarity asked for shares a block.
-RECALL = 0.99
-VERIFY_BITS = 256
+#: One node in so many (by hash) is counted to find the keys that need parts.
+SAMPLED = 64
+#: Similarity mode: one key in so many connects what is dense before the others add links.
+FIRST = 16
+#: Similarity mode, the same for tables of every size: 64-bit words of a fingerprint, bits of a block, and
+#: how many of the blocks after it (in a circle) each block makes keys with. 49 blocks and 147 keys of 18
+#: bits: a pair of similarity 0.8 shares a key with a chance of 0.99; two unrelated texts share one with a
+#: chance of 1 in 1800. For far more than 10^8 distinct texts longer blocks keep those meetings few; they need more words.
+WORDS, BLOCK, REACH = 7, 9, 3
+VERIFY_BITS = 128
 #: Standard deviations of the Hamming distance that a candidate may lie above the mean of a pair just similar.
-ROOM = 3
+ROOM = 3.5
 #: Shingles of one part of a large component (8 bytes each).
 PART_SHINGLES = 1 << 19
 
@@ -99,34 +107,47 @@ def simhash(text: str | None, shingle: int = 4, words: int = 1) -> np.ndarray:
     return _majority(shingle_hashes(text, shingle, (1 << 16) // words), words)
 
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).view(np.int64)))
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle)]))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, sets: bool = False) -> DataFrame:
     """(doc_id, f array of longs) of every row; null text counts as empty, repeated rows stay.
 
-    sets: f counts each distinct shingle once, and (node, s) are added: the hash of the text's shingle
-    set and the set itself as sorted hashes.
+    sets: f counts each distinct shingle once, and (t1, t2, node) are added: hashes of the text, and of
+    its shingle set.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("f", pa.list_(pa.int64()))] + ([("node", pa.int64()), ("s", pa.list_(pa.int64()))] if sets else []))
-
-    def lists(rows: list[np.ndarray]) -> pa.Array:
-        ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).view(np.int64)))
+    schema = pa.schema([("doc_id", pa.int64())] + [(n, pa.int64()) for n in ("t1", "t2", "node") if sets] + [("f", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in text_groups(batches):
             texts = b.column("text").to_pylist()
             if not texts:
                 continue
+            columns = [b.column("doc_id")]
             if sets:
-                found = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, shingle)])) for t in texts]
+                found = [shingle_set(t, shingle) for t in texts]
                 step = (1 << 16) // words
-                columns = [b.column("doc_id"), lists([_majority((x[i : i + step] for i in range(0, len(x), step)), words) for x in found])]
-                columns += [pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)), lists(found)]
+                fs = [_majority((x[i : i + step] for i in range(0, len(x), step)), words) for x in found]
+                columns += [b.column("t1"), b.column("t2"), pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64))]
             else:
-                columns = [b.column("doc_id"), lists([simhash(t, shingle, words) for t in texts])]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                fs = [simhash(t, shingle, words) for t in texts]
+            yield pa.RecordBatch.from_arrays([*columns, _lists(fs)], schema=schema)
 
-    out = "doc_id long, f array<long>" + (", node long, s array<long>" if sets else "")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), small_text(text_col).alias("text")).mapInArrow(run, out)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), small_text(text_col).alias("text"))
+    if sets:
+        rows = _with_text_hashes(rows)
+    return rows.mapInArrow(run, "doc_id long, " + "t1 long, t2 long, node long, " * sets + "f array<long>")
+
+
+def _with_text_hashes(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
 
 
 def blocks_for(rows: int) -> int:
@@ -162,7 +183,7 @@ def forest(node: np.ndarray, f: np.ndarray, distance: int):
 
 
 def _pairs_in_runs(distance: int, words: int):
-    names, fs = ["c", "k", "lo", "hi"], [f"f{i}" for i in range(words)]
+    names, fs = ["key", "meet"], [f"f{i}" for i in range(words)]
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def edges(node: np.ndarray, f: np.ndarray, run: np.ndarray):
@@ -180,7 +201,9 @@ def _pairs_in_runs(distance: int, words: int):
 
     def out(found):
         for x, y in found:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], schema=schema)
+            new = x != y
+            if new.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[new], pa.int64()), pa.array(y[new], pa.int64())], schema=schema)
 
     def run(batches):
         kept = None
@@ -200,31 +223,61 @@ def _pairs_in_runs(distance: int, words: int):
     return run
 
 
-def close_pairs(nodes: DataFrame, keys: list[Column], verify: list[Column], distance: int) -> DataFrame:
+def close_pairs(nodes: DataFrame, keys: list[Column], verify: list[Column], distance: int, label: str = "node") -> DataFrame:
     """(a, b): enough links between nodes to connect all that share a key and are within the distance.
 
-    nodes has one row per distinct fingerprint (column node). A key with many of them is cut into
+    nodes has one row per distinct fingerprint (column node). With another label, which nodes known to
+    be connected share, the links are those between labels. A key with many of them is cut into
     parts that meet two by two, each meeting in a task of its own, so no key is gathered whole and no
-    link is lost. Large meetings emit a spanning forest instead of pairs.
+    link is lost; how many parts is estimated from one node in SAMPLED. Large meetings emit a spanning
+    forest instead of pairs, from their smallest node on, so that meetings of the same nodes emit the
+    same links.
     """
     fs = [f"f{i}" for i in range(len(verify))]
-    rows = nodes.select("node", *[v.alias(x) for v, x in zip(verify, fs)], F.posexplode(F.array(*keys)).alias("c", "k"))
-    hot = materialize(rows.groupBy("c", "k").count().where(F.col("count") > PART).select("c", "k", F.ceil(F.col("count") / PART).cast("int").alias("parts")), "hot")
-    dealt = rows.join(F.broadcast(hot) if hot.count() <= HOT_BROADCAST else hot, ["c", "k"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumn("i", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("c", "k", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "node", *fs)
-    dealt = dealt.repartition(partitions(nodes.sparkSession), "c", "k", "lo", "hi").sortWithinPartitions("c", "k", "lo", "hi")
+    rows = nodes.select("node", *[v.alias(x) for v, x in zip(verify, fs)], F.col(label).alias("label"), F.posexplode(F.array(*keys)).alias("c", "k"))
+    rows = rows.select("node", "label", *fs, F.xxhash64("k", "c").alias("key"))
+    some = rows.where(F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(SAMPLED)) == 0).groupBy("key").count().where(F.col("count") * SAMPLED > PART // 2)
+    hot = materialize(some.select("key", F.ceil(F.col("count") * SAMPLED / PART).cast("int").alias("parts")), "hot")
+    n_hot = hot.count()
+    if n_hot:
+        rows = rows.join(F.broadcast(hot) if n_hot <= HOT_BROADCAST else hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        rows = rows.withColumn("i", F.pmod(F.xxhash64("node"), "parts")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rows = rows.withColumn("meet", F.shiftleft(F.least("i", "j").cast("long"), 32) + F.greatest("i", "j"))
+    else:
+        rows = rows.withColumn("meet", F.lit(0).cast("long"))
+    dealt = rows.select("key", "meet", F.col("label").alias("node"), *fs).repartition(partitions(nodes.sparkSession), "key", "meet").sortWithinPartitions("key", "meet", "node")
     return dealt.mapInArrow(_pairs_in_runs(distance, len(fs)), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _classes(fps: DataFrame, links) -> DataFrame:
-    """fps (doc_id, f, node) with component_id: the smallest doc_id reachable over links(nodes)."""
-    nodes = materialize(fps.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("f").alias("f")), "nodes")
-    roots = connected_components(links(nodes))
-    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = materialize(named.join(ids, "root").select("node", "component_id"), "classes")
-    drop_table(nodes)
+def _linked(nodes: DataFrame, keys: list[Column], verify: list[Column], distance: int) -> DataFrame:
+    """nodes, columns node and t, with comp: the component over all links of close_pairs(); only linked nodes.
+
+    A few keys first: what they connect gets one label, and the other keys only add links between
+    labels. So a dense group does not emit its links once for each key.
+    """
+    n = nodes.count()
+    first = connected_components(close_pairs(nodes, keys[::FIRST], verify, distance))
+    labelled = nodes.join(first, "node", "left").withColumns({"label": F.coalesce("root", "node"), "linked": F.col("root").isNotNull()})
+    labelled = materialize(labelled.drop("root", "rep"), "labelled", n)
+    second = connected_components(close_pairs(labelled, [k for i, k in enumerate(keys) if i % FIRST], verify, distance, "label"))
+    second = materialize(second.select(F.col("node").alias("label"), F.struct("root").alias("r")), "labels", n)
+    rows = labelled.join(second, "label", "left").where("linked or r is not null")
+    out = materialize(rows.select("node", "t", F.coalesce("r.root", "label").alias("comp")), "linked", n)
+    drop_table(labelled)
+    drop_table(second)
+    return out
+
+
+def _classes(fps: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """fps (doc_id, node, ...) with component_id: the smallest doc_id reachable over links between nodes (node, rep)."""
+    n = nodes.count()
+    roots = materialize(connected_components(links), "roots", n)
+    ids = materialize(roots.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("component_id")), "ids", n)
+    named = roots.join(ids, "root").select("node", F.struct("component_id").alias("c"))
+    alone = F.when(F.col("c").isNull(), F.col("rep")).otherwise(F.col("c.component_id"))
+    of = materialize(nodes.select("node", "rep").join(named, "node", "left").select("node", alone.alias("component_id")), "classes", n)
+    drop_table(roots)
+    drop_table(ids)
     return fps.join(of, "node")
 
 
@@ -236,13 +289,11 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     0) link like any others. A null id is kept; its row gets the component's smallest id that is not
     null. An empty table gives no rows; other columns of docs are not read.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, shingle).withColumn("node", F.col("f")[0]), "fingerprints")
-
-    def links(nodes: DataFrame) -> DataFrame:
-        choices = masks(blocks_for(nodes.count()), distance)
-        return close_pairs(nodes, [F.col("node").bitwiseAND(F.lit(_signed(x)).cast("long")) for x in choices], [F.col("node")], distance)
-
-    return _classes(fps, links).select("doc_id", F.col("node").alias("fp"), "component_id")
+    fps = materialize(fingerprints(docs, id_col, text_col, shingle).select("doc_id", F.col("f")[0].alias("node")), "fingerprints")
+    nodes = materialize(fps.groupBy("node").agg(F.min("doc_id").alias("rep")), "nodes", fps.count())
+    choices = masks(blocks_for(nodes.count()), distance)
+    links = close_pairs(nodes, [F.col("node").bitwiseAND(F.lit(_signed(x)).cast("long")) for x in choices], [F.col("node")], distance)
+    return _classes(fps, nodes, links).select("doc_id", F.col("node").alias("fp"), "component_id")
 
 
 def bit_error(similarity: float) -> float:
@@ -356,28 +407,43 @@ def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
     return links.union(meet(rows.select("comp", "to.*", "node", "s")))
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def block_recall(similarity: float, blocks: int, bits: int, reach: int) -> float:
+    """The chance that two texts of this similarity share two blocks at most `reach` apart in the circle."""
+    q = (1 - bit_error(similarity)) ** bits
+    none = (1 - q) ** blocks
+    for k in range(1, blocks):  # k blocks in common, any two of them further apart
+        free = blocks - k * reach
+        if free < k:
+            break
+        none += blocks / free * math.comb(free, k) * q**k * (1 - q) ** (blocks - k)
+    return 1 - none
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = WORDS, block: int = BLOCK, reach: int = REACH) -> DataFrame:
     """(doc_id, component_id) of every row; rows link at a Jaccard similarity of their shingle sets of `similarity` or more.
 
-    SimHash blocks only find what may link: they have 16 to 24 bits by the number of rows, so that
-    chance meetings stay few, and are as many as RECALL needs; ROOM standard deviations are added to
-    the Hamming distance expected. Components of these candidates are searched by the exact
-    similarity. Nulls, empty texts and repeated rows: as for simhash_classes.
+    SimHash blocks only find what may link: see WORDS, BLOCK, REACH and block_recall(). ROOM standard
+    deviations are added to the Hamming distance expected. The texts of the components of these
+    candidates are read once more and searched by the exact similarity. Nulls, empty texts and repeated
+    rows: as for simhash_classes.
     """
     p = bit_error(similarity)
-    bits = min(24, max(16, docs.count().bit_length() - 2))
-    per = 64 // bits
-    words = max(VERIFY_BITS // 64, math.ceil(math.log(1 - RECALL) / math.log1p(-((1 - p) ** bits)) / per))
     most = math.floor(VERIFY_BITS * p + ROOM * math.sqrt(VERIFY_BITS * p * (1 - p)))
     fps = materialize(fingerprints(docs, id_col, text_col, shingle, words, sets=True), "fingerprints")
+    nodes = materialize(fps.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.struct("t1", "t2")).alias("t"), F.max("f").alias("f")), "nodes", fps.count())
+    each = [F.shiftrightunsigned(F.col("f")[w], b * block).bitwiseAND(F.lit((1 << block) - 1).cast("long")) for w in range(words) for b in range(64 // block)]
+    keys = [F.shiftleft(x, block).bitwiseOR(each[(i + d) % len(each)]) for d in range(1, reach + 1) for i, x in enumerate(each)]
+    asked = _linked(nodes, keys, [F.col("f")[i] for i in range(VERIFY_BITS // 64)], most).select("node", "comp", "t.t1", "t.t2")
+    texts = _with_text_hashes(docs.select(small_text(text_col).alias("text"))).join(asked, ["t1", "t2"])
+    texts = texts.groupBy("t1", "t2", "comp", "node").agg(F.first("text").alias("text"))  # of equal texts one
 
-    def links(nodes: DataFrame) -> DataFrame:
-        keys = [F.shiftrightunsigned(F.col("f")[w], b * bits).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) for w in range(words) for b in range(per)]
-        near = connected_components(close_pairs(nodes, keys, [F.col("f")[i] for i in range(VERIFY_BITS // 64)], most))
-        found = fps.join(near.withColumnRenamed("root", "comp"), "node").groupBy("comp", "node").agg(F.first("s").alias("s"))
-        return similar_sets(materialize(found, "sets"), similarity)
+    def run(batches):
+        for b in text_groups(batches):
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column("comp"), b.column("node"), _lists([shingle_set(t, shingle) for t in b.column("text").to_pylist()])], names=["comp", "node", "s"])
 
-    return _classes(fps.drop("s"), links).select("doc_id", "component_id")
+    sets = materialize(texts.select("comp", "node", "text").mapInArrow(run, "comp long, node long, s array<long>"), "sets")
+    return _classes(fps.select("doc_id", "node"), nodes, similar_sets(sets, similarity)).select("doc_id", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
