@@ -118,7 +118,7 @@ def parse(source: str) -> Node:
 
 @dataclass
 class V:
-    """A compiled value: kind is num, str, bool or empty; err is null where the value stands."""
+    """A compiled value: kind is num, str, bool or empty; err is null where the value stands. A null value without an error is blank."""
 
     kind: str
     col: Column
@@ -141,22 +141,32 @@ def _first(*errs: Column) -> Column:
 
 def as_num(v: V) -> V:
     """Numbers stand; true is 1; blank is 0; text counts if all of it is a number, else #VALUE!."""
-    if v.kind == "num":
-        return v
-    if v.kind == "bool":
-        return V("num", v.col.cast("double"), v.err)
     if v.kind == "empty":
         return V("num", F.lit(0.0), v.err)
+    if v.kind in ("num", "bool"):
+        return V("num", F.coalesce(v.col.cast("double"), F.lit(0.0)), v.err)
     x = to_num(v.col)
-    return V("num", x, _first(v.err, F.when(x.isNull() & v.col.isNotNull(), "#VALUE!")))
+    return V("num", F.when(v.col.isNull(), 0.0).otherwise(x), _first(v.err, F.when(x.isNull() & v.col.isNotNull(), "#VALUE!")))
 
 
 def as_text(v: V) -> V:
-    if v.kind == "str":
-        return v
+    """Text stands; blank is the empty text."""
     if v.kind == "empty":
         return V("str", F.lit(""), v.err)
-    return V("str", num_to_text(v.col) if v.kind == "num" else F.upper(v.col.cast("string")), v.err)
+    c = v.col if v.kind == "str" else num_to_text(v.col) if v.kind == "num" else F.upper(v.col.cast("string"))
+    return V("str", F.when(v.col.isNull(), "").otherwise(c), v.err)
+
+
+def is_blank(v: V) -> Column:
+    return v.err.isNull() & (F.lit(True) if v.kind == "empty" else v.col.isNull())
+
+
+def _errors(vs: list[V], code: str | None = None) -> Column:
+    """The first error of the arguments, or the function's own code for any of them."""
+    if not vs:
+        return F.lit(None).cast("string")
+    err = _first(*[v.err for v in vs])
+    return err if code is None else F.when(err.isNotNull(), code)
 
 
 def as_bool(v: V) -> Column:
@@ -178,8 +188,8 @@ def _flat(args: list[V]) -> list[V]:
 
 def _numbers(args: list[V], only_numbers: bool = False) -> Column:
     """The array of what counts as a number: blanks are 0, other text and errors are left out."""
-    cells = [as_num(c) for c in _flat(args) if not only_numbers or c.kind == "num"]
-    values = [F.when(c.err.isNull(), c.col.cast("double")) for c in cells]
+    cells = [(c, as_num(c)) for c in _flat(args) if not only_numbers or c.kind == "num"]
+    values = [F.when(n.err.isNull() & ~(is_blank(c) & only_numbers), n.col) for c, n in cells]
     return F.filter(F.array(*values) if values else F.array().cast("array<double>"), lambda x: x.isNotNull())
 
 
@@ -298,9 +308,9 @@ def _iferror(args: list[V]) -> V:
 
 
 def _textjoin(args: list[V]) -> V:
-    d, skip, cells = as_text(args[0]), as_bool(args[1]), [as_text(c).col for c in _flat(args[2:])]
-    every = F.array(*[F.coalesce(c, F.lit("")) for c in cells])
-    return V("str", F.when(skip, _joined(F.filter(every, lambda x: x != ""), d.col)).otherwise(_joined(every, d.col)), d.err)
+    d, skip, cells = as_text(args[0]), as_bool(args[1]), [as_text(c) for c in _flat(args[2:])]
+    every = F.array(*[c.col for c in cells])
+    return V("str", F.when(skip, _joined(F.filter(every, lambda x: x != ""), d.col)).otherwise(_joined(every, d.col)), _errors([d, *cells]))
 
 
 def _joined(xs: Column, d: Column) -> Column:
@@ -308,24 +318,36 @@ def _joined(xs: Column, d: Column) -> Column:
 
 
 def _substitute(args: list[V]) -> V:
-    s, old, new = (as_text(a).col for a in args[:3])
+    texts = [as_text(a) for a in args[:3]]
+    s, old, new = (v.col for v in texts)
     if len(args) < 4:
-        return V("str", F.when(old == "", s).otherwise(F.replace(s, old, new)))
-    k = as_num(args[3]).col.cast("int")
+        return V("str", F.when(old == "", s).otherwise(F.replace(s, old, new)), _errors(texts))
+    nth = as_num(args[3])
+    k = nth.col.cast("int")
     parts = F.split(s, F.concat(F.lit(r"\Q"), old, F.lit(r"\E")), -1)
     done = F.concat(_joined(F.slice(parts, 1, k), old), new, _joined(F.slice(parts, k + 1, F.size(parts)), old))
-    return V("str", F.when((old == "") | (k < 1) | (F.size(parts) <= k), s).otherwise(done))
+    return V("str", F.when((old == "") | (k < 1) | (F.size(parts) <= k), s).otherwise(done), _errors([*texts, nth]))
 
 
 def _find(fold: bool):
     def make(args: list[V]) -> V:
-        needle, hay = as_text(args[0]).col, as_text(args[1]).col
+        texts = [as_text(a) for a in args[:2]]
+        needle, hay = (v.col for v in texts)
         at = F.instr(F.lower(hay), F.lower(needle)) if fold else F.instr(hay, needle)
-        return V("num", F.when(at > 0, at.cast("double")), F.when(at <= 0, "#VALUE!"))
+        return V("num", F.when(at > 0, at.cast("double")), _first(_errors(texts), F.when(at <= 0, "#VALUE!")))
 
     return make
 
 
+def _replace(vs: list[V]) -> V:
+    s, at, n, new = (v.col for v in vs)
+    return V("str", F.overlay(s, new, at.cast("int"), n.cast("int")), _errors(vs))
+
+
+def _tally(hits: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, [h.cast("double") for h in hits], F.lit(0.0))
+
+
 def proper(s: Column) -> Column:
     words = F.regexp_extract_all(s, F.lit(r"[\p{Punct}\s]+|[^\p{Punct}\s]+"), F.lit(0))
     return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 2147483646)))), "")
@@ -391,9 +413,10 @@ def _mode(args: list[V]) -> V:
 
 def _kth(largest: bool):
     def make(args: list[V]) -> V:
-        xs, k = F.sort_array(_numbers(args[:1]), asc=not largest), as_num(args[1]).col.cast("int")
-        out = (k < 1) | (k > F.size(xs))
-        return V("num", F.when(~out, F.get(xs, k - 1)), F.when(out, "#NUM!"))
+        xs, nth = F.sort_array(_numbers(args[:1]), asc=not largest), as_num(args[1])
+        k = nth.col.cast("int")
+        out = nth.err.isNotNull() | (k < 1) | (k > F.size(xs))
+        return V("num", F.when(~out, F.get(xs, k - 1)), F.when(F.size(xs) == 0, "#N/A").when(out, "#NUM!"))
 
     return make
 
@@ -402,7 +425,9 @@ def _sumproduct(args: list[V]) -> V:
     rows = [a.cells or [a] for a in args]
     if len({len(r) for r in rows}) > 1 or any(c.kind == "str" for r in rows for c in r):
         return _error("#VALUE!")
-    return V("num", reduce(lambda a, b: a + b, [reduce(lambda x, y: x * y, [as_num(c).col for c in cs]) for cs in zip(*rows)]))
+    numbers = [[as_num(c) for c in r] for r in rows]
+    total = reduce(lambda a, b: a + b, [reduce(lambda x, y: x * y, [c.col for c in cs]) for cs in zip(*numbers)])
+    return V("num", total, _errors([c for r in numbers for c in r], "#VALUE!"))
 
 
 def _if_aggregate(f: Callable[[Column], Column]):
@@ -417,38 +442,45 @@ def _count_true(args: list[V]) -> V:
     return V("num", reduce(lambda a, b: a + b, [h.cast("double") for h in _matches(args)]))
 
 
-EPOCH = "DATE'1899-12-30'"
+# Serial 1 is 1900-01-01; 60 is the day after 1900-02-28 that never was, so from 61 on counts run one ahead.
+EPOCH, LEAP = "DATE'1899-12-31'", 60
 
 
 def _date_of(serial: Column) -> Column:
-    return F.date_add(F.expr(EPOCH), F.floor(serial).cast("int"))
+    day = F.floor(serial).cast("int")
+    return F.date_add(F.expr(EPOCH), F.when(day > LEAP, day - 1).otherwise(day))
 
 
 def _serial(date: Column) -> Column:
-    return F.datediff(date, F.expr(EPOCH)).cast("double")
+    days = F.datediff(date, F.expr(EPOCH))
+    return F.when(days >= LEAP, days + 1).otherwise(days).cast("double")
 
 
 def _make_date(y: Column, m: Column, d: Column) -> Column:
-    """The serial of a date; days beyond the month's end go on; months outside 1-12 give 0."""
+    """The serial of a date; days beyond the month's end go on; months outside 1-12 and days below 1 give 0."""
     first = F.expr("make_date({0}, {1}, 1)".format("1900", "1"))
     months = ((y - 1900) * 12 + m - 1).cast("int")
-    return F.when(m.between(1, 12), _serial(F.date_add(F.add_months(first, months), (d - 1).cast("int")))).otherwise(0.0)
+    found = _serial(F.date_add(F.add_months(first, months), (d - 1).cast("int")))
+    february = (y == 1900) & (m == 2) & (d >= 29)
+    return F.when(~m.between(1, 12) | (d < 1), 0.0).when(february, F.when(d < 30, float(LEAP)).otherwise(LEAP + 1.0)).otherwise(found)
 
 
 def _weekday(args: list[V]) -> V:
-    day = F.dayofweek(_date_of(as_num(args[0]).col)).cast("double")  # Sunday is 1
-    kind = as_num(args[1]).col if len(args) > 1 else F.lit(1.0)
-    return V("num", F.when(kind == 2, F.when(day == 1, 7.0).otherwise(day - 1)).when(kind == 3, F.when(day == 1, 6.0).otherwise(day - 2)).otherwise(day))
+    vs = [as_num(a) for a in args]
+    day = F.dayofweek(_date_of(vs[0].col)).cast("double")  # Sunday is 1
+    kind = vs[1].col if len(vs) > 1 else F.lit(1.0)
+    return V("num", F.when(kind == 2, F.when(day == 1, 7.0).otherwise(day - 1)).when(kind == 3, F.when(day == 1, 6.0).otherwise(day - 2)).otherwise(day), _errors(vs))
 
 
 def _annuity(args: list[V], future: bool) -> V:
-    r, n, p = (as_num(a).col for a in args[:3])
-    other = as_num(args[3]).col if len(args) > 3 else F.lit(0.0)
-    due = as_num(args[4]).col if len(args) > 4 else F.lit(0.0)
-    f = F.pow(1 + r, n)
+    vs = [as_num(a) for a in args]
+    r, n, p = (v.col for v in vs[:3])
+    other = vs[3].col if len(vs) > 3 else F.lit(0.0)
+    due = vs[4].col if len(vs) > 4 else F.lit(0.0)
+    f, err = F.pow(1 + r, n), _errors(vs)
     if future:
-        return V("num", F.when(r == 0, -(other + p * n)).otherwise(-(other * f + p * (1 + r * due) * (f - 1) / F.nullif(r, F.lit(0.0)))))
-    return V("num", F.when(r == 0, -(p + other) / F.nullif(n, F.lit(0.0))).otherwise(-(p * f + other) * r / F.nullif((1 + r * due) * (f - 1), F.lit(0.0))))
+        return V("num", F.when(r == 0, -(other + p * n)).otherwise(-(other * f + p * (1 + r * due) * (f - 1) / F.nullif(r, F.lit(0.0)))), err)
+    return V("num", F.when(r == 0, -(p + other) / F.nullif(n, F.lit(0.0))).otherwise(-(p * f + other) * r / F.nullif((1 + r * due) * (f - 1), F.lit(0.0))), _first(err, F.when(n == 0, "#DIV/0!")))
 
 
 def round_half_up(x: Column, p: Column) -> Column:
@@ -471,7 +503,7 @@ FUNCTIONS: dict[str, Callable[[list[V]], V]] = {
     "PRODUCT": lambda a: V("num", F.when(F.size(_numbers(a)) > 0, F.aggregate(_numbers(a), F.lit(1.0), lambda x, y: x * y)).otherwise(0.0)),
     "MIN": lambda a: V("num", F.coalesce(F.array_min(_numbers(a)), F.lit(0.0))), "MAX": lambda a: V("num", F.coalesce(F.array_max(_numbers(a)), F.lit(0.0))),
     "COUNT": lambda a: V("num", F.size(_numbers(a, True)).cast("double")),
-    "COUNTA": lambda a: V("num", F.lit(float(sum(v.kind != "empty" for v in _flat(a))))), "COUNTBLANK": lambda a: V("num", F.lit(float(sum(v.kind == "empty" for v in _flat(a))))),
+    "COUNTA": lambda a: V("num", _tally([~is_blank(v) for v in _flat(a)])), "COUNTBLANK": lambda a: V("num", _tally([is_blank(v) for v in _flat(a)])),
     "ROUND": lambda a: _n(lambda x, *_: round_half_up(x, _scale(a, 1)))(a), "ROUNDUP": lambda a: _n(lambda x, *_: F.ceil(x * _scale(a, 1)).cast("double") / _scale(a, 1))(a), "ROUNDDOWN": lambda a: _n(lambda x, *_: F.floor(x * _scale(a, 1)).cast("double") / _scale(a, 1))(a),
     "ABS": _n(F.abs), "INT": _n(lambda x: F.floor(x).cast("double")), "SIGN": _n(F.signum), "EXP": _n(F.exp), "POWER": _n(F.pow),
     "MOD": _n(lambda x, y: x % F.nullif(y, F.lit(0.0)) + 0.0, lambda x, y: y == 0, "#DIV/0!"),
@@ -486,7 +518,7 @@ FUNCTIONS: dict[str, Callable[[list[V]], V]] = {
     "LEN": _t(lambda s: F.length(s).cast("double"), "num"), "UPPER": _t(F.upper), "LOWER": _t(F.lower), "TRIM": _t(lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))),
     "TEXT": lambda a: as_text(a[0]), "VALUE": lambda a: as_num(a[0]), "REPT": lambda a: _t(lambda s, n: F.repeat(s, F.greatest(n.cast("int"), F.lit(0))))(a),
     "EXACT": _texts(lambda x, y: x == y, "bool"), "SUBSTITUTE": _substitute, "FIND": _find(False), "SEARCH": _find(True), "PROPER": _t(proper),
-    "REPLACE": lambda a: V("str", F.overlay(as_text(a[0]).col, as_text(a[3]).col, as_num(a[1]).col.cast("int"), as_num(a[2]).col.cast("int"))),
+    "REPLACE": lambda a: _replace([as_text(a[0]), as_num(a[1]), as_num(a[2]), as_text(a[3])]),
     # statistics
     "MEDIAN": _reduce(_median, 1), "MODE": _mode, "STDEV": _reduce(lambda xs: F.sqrt(_variance(xs)), 2), "VAR": _reduce(_variance, 2), "LARGE": _kth(True), "SMALL": _kth(False),
     # dates and finance
@@ -497,16 +529,29 @@ FUNCTIONS: dict[str, Callable[[list[V]], V]] = {
 }
 
 
+def _equal(a: V, b: V) -> Column:
+    """Equality of values; a blank equals 0, false, the empty text and another blank."""
+    if "empty" in (a.kind, b.kind):
+        return as_num(a).col == as_num(b).col if {a.kind, b.kind} & {"num", "bool"} else as_text(a).col == as_text(b).col
+    if a.kind == b.kind:
+        return as_text(a).col == as_text(b).col if a.kind == "str" else as_num(a).col == as_num(b).col
+
+    def like_blank(v: V) -> Column:
+        return as_text(v).col == "" if v.kind == "str" else as_num(v).col == 0
+
+    return F.when(a.col.isNull(), like_blank(b)).when(b.col.isNull(), like_blank(a)).otherwise(False)
+
+
 def _binary(op: str, a: V, b: V) -> V:
     if op in ("=", "<>"):
-        same = _same(a, b) if "empty" not in (a.kind, b.kind) else (as_num(a).col == as_num(b).col if "num" in (a.kind, b.kind) else as_text(a).col == as_text(b).col)
+        same = _equal(a, b)
         err = _first(a.err, b.err)
         return V("bool", F.when(err.isNull(), same if op == "=" else ~same), err)
     if op == "&":
         x, y = as_text(a), as_text(b)
         return V("str", F.concat(x.col, y.col), _first(x.err, y.err))
     if op in ("<", ">", "<=", ">="):
-        x, y = (V("num", to_num(v.col)) if v.kind == "str" else as_num(v) for v in (a, b))
+        x, y = as_num(a), as_num(b)
         test = {"<": x.col < y.col, ">": x.col > y.col, "<=": x.col <= y.col, ">=": x.col >= y.col}[op]
         err = _first(a.err, b.err)
         return V("bool", F.when(err.isNull(), F.coalesce(test, F.lit(False))), err)
