@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,38 @@ def live(state: DataFrame) -> DataFrame:
     return state.where(~F.col("tomb"))
 
 
+def insert_op(site: str, clock: Column, value: Column) -> list[Column]:
+    """The op-log columns (id, lamport, tomb, value) of an insertion; an id is clock:site."""
+    return [F.concat_ws(":", clock.cast("string"), F.lit(site)).alias("id"), clock.cast("long").alias("lamport"), F.lit(False).alias("tomb"), value.alias("value")]
+
+
+def delete_op(op_id: Column, clock: Column, value: Column) -> list[Column]:
+    """A deletion: the same id again with a tombstone."""
+    return [op_id.alias("id"), clock.cast("long").alias("lamport"), F.lit(True).alias("tomb"), value.alias("value")]
+
+
+def moved(state: DataFrame, ids: DataFrame, lamport: Column) -> DataFrame:
+    """state with the rows of ids (column id) at a later place."""
+    out = state.join(ids.select("id", F.lit(True).alias("_moved")), "id", "left")
+    return out.withColumn("lamport", F.when(F.col("_moved"), lamport).otherwise(F.col("lamport"))).drop("_moved")
+
+
+def serialise(state: DataFrame) -> DataFrame:
+    """(line): id, lamport, tombstone and value of each row, a tab between; the value may be empty."""
+    return state.select(F.concat_ws("\t", "id", F.col("lamport").cast("string"), F.col("tomb").cast("int").cast("string"), F.coalesce("value", F.lit(""))).alias("line"))
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """The rows of serialise()'s lines."""
+    f = F.split("line", "\t", 4)
+    return lines.select(f[0].alias("id"), f[1].cast("long").alias("lamport"), (f[2] == "1").alias("tomb"), f[3].alias("value"))
+
+
+def version_list(history: DataFrame, key: str, order: str) -> DataFrame:
+    """history with the number of each version of its key, from 1."""
+    return history.withColumn("version", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+
+
 def latest_versions(history: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """The last version of each key and how many there are; no sort of the history."""
     return history.groupBy(key).agg(F.max(order).alias("version"), F.max_by(value, order).alias("value"), F.count("*").alias("versions"))

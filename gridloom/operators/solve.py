@@ -40,6 +40,26 @@ def solve_rows(df: DataFrame, id_col: str, matrix: str, rhs: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long"), matrix, rhs).mapInArrow(run, f"{id_col} long, x array<double>, det double")
 
 
+def inverse_rows(df: DataFrame, id_col: str, matrix: str) -> DataFrame:
+    """(id, inverse array, row by row) of a square matrix a row; null where it is singular."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for m in b.column(1).to_pylist():
+                n = int(round(len(m) ** 0.5))
+                a = np.array(m, dtype=float).reshape(n, n)
+                out.append(np.linalg.inv(a).ravel() if np.linalg.matrix_rank(a, tol=1e-12) == n else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], names=[id_col, "inverse"])
+
+    return df.select(F.col(id_col).cast("long"), matrix).mapInArrow(run, f"{id_col} long, inverse array<double>")
+
+
+def hmac_verify(key: str, message: Column, signature: Column) -> Column:
+    """Whether a signature, in either case, is that of the message; false for null."""
+    return F.coalesce(hmac_sha256(key, message) == F.lower(signature), F.lit(False))
+
+
 def hmac_sha256(key: str, message: Column) -> Column:
     """HMAC-SHA256 in lower-case hexadecimal: two nested digests over padded keys, JVM-side."""
     import hashlib

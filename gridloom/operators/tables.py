@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.formula import V, criterion
+
 AGGREGATES = {
     "sum": lambda c: F.coalesce(F.sum(c), F.lit(0.0)),
     "avg": lambda c: F.coalesce(F.avg(c), F.lit(0.0)),
@@ -46,6 +50,57 @@ def vlookup(df: DataFrame, table: DataFrame, on: str, table_key: str, value: str
     return out if missing is None else out.withColumn(name, F.coalesce(F.col(name).cast("string"), F.lit(missing)))
 
 
+def positions(table: DataFrame, order: str, name: str = "pos") -> DataFrame:
+    """A lookup table's rows with their place (from 1) in an order; the table is small enough for one window."""
+    return table.withColumn(name, F.row_number().over(Window.orderBy(order)))
+
+
+def match(df: DataFrame, table: DataFrame, on: str, table_key: str, order: str, name: str = "pos") -> DataFrame:
+    """MATCH: df with the place of the table's first row whose key equals that of the row, text in any case; null without one."""
+
+    def fold(c: str, of: DataFrame) -> Column:
+        return F.lower(c) if dict(of.dtypes)[c] == "string" else F.col(c)
+
+    first = positions(table, order, "_pos").groupBy(fold(table_key, table).alias("_key")).agg(F.min("_pos").alias(name))
+    return df.join(first, fold(on, df) == F.col("_key"), "left").drop("_key")
+
+
+def index(df: DataFrame, table: DataFrame, at: str, value: str, order: str, name: str) -> DataFrame:
+    """INDEX: df with the value at the place of the table that column `at` tells; null outside the table."""
+    cells = positions(table, order, "_pos").select(F.col("_pos").alias("_at"), F.col(value).alias(name))
+    return df.join(cells, F.col(at) == F.col("_at"), "left").drop("_at")
+
+
+def hlookup(df: DataFrame, wide: DataFrame, on: str, row: int, name: str, order: str) -> DataFrame:
+    """HLOOKUP: df with the cell in the given row (from 1, by order) of the column of `wide` that is named as the key."""
+    columns = [c for c in wide.columns if c != order]
+    cells = positions(wide, order, "_pos").where(F.col("_pos") == row).select(*[F.col(c).cast("string") for c in columns])
+    long = cells.unpivot([], columns, "_key", name)
+    return df.join(long, F.col(on).cast("string") == F.col("_key"), "left").drop("_key")
+
+
+def kth(df: DataFrame, column: str, k: int, largest: bool = True) -> DataFrame:
+    """LARGE or SMALL: one row with the kth value (column value), null if there are fewer. A heap of k rows a task."""
+    c = F.col(column)
+    few = df.where(c.isNotNull()).orderBy(c.desc() if largest else c.asc()).limit(k)
+    return few.agg(F.when(F.count("*") == k, F.min(c) if largest else F.max(c)).alias("value"))
+
+
+def meets(column: Column, kind: str, condition: str) -> Column:
+    """Whether a cell (kind num or str) meets a criteria string of SUMIF and its like, as in formulas."""
+    return criterion(V(kind, column), V("str", F.lit(condition)))
+
+
+def conditional(df: DataFrame, function: str, value: str | None, conditions: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """SUMIF(S), COUNTIF(S) and AVERAGEIF over columns and criteria strings: one row (column value), or one a group."""
+    kinds = dict(df.dtypes)
+    tests = [meets(F.col(c) if kinds[c] == "string" else F.col(c).cast("double"), "str" if kinds[c] == "string" else "num", x) for c, x in conditions.items()]
+    hit = reduce(lambda a, b: a & b, tests)
+    chosen = F.when(hit, F.coalesce(F.col(value).cast("double"), F.lit(0.0))) if value else None
+    out = {"COUNT": lambda: F.count_if(hit), "SUM": lambda: F.coalesce(F.sum(chosen), F.lit(0.0)), "AVERAGE": lambda: F.coalesce(F.avg(chosen), F.lit(0.0))}[function]()
+    return df.groupBy(*(by or [])).agg(out.alias("value"))
+
+
 def solve2(a: Column, b: Column, c: Column, d: Column, e: Column, f: Column) -> tuple[Column, Column]:
     """x, y of ax + by = e, cx + dy = f; null where singular."""
     det = a * d - b * c

@@ -53,35 +53,104 @@ def deletions(c: Column) -> Column:
     return F.array_distinct(F.concat(F.array(c), ones, F.flatten(F.transform(ones, one))))
 
 
-# Frequent misspellings and what they stand for.
-MISSPELLINGS = {"teh": "the", "recieve": "receive", "seperate": "separate", "definately": "definitely", "occured": "occurred", "untill": "until", "wich": "which", "thier": "their", "becuase": "because", "alot": "a lot"}
+# Misspellings and what they stand for.
+MISSPELLINGS = {
+    "alot": "a lot", "definately": "definitely", "seperate": "separate", "recieve": "receive", "occured": "occurred", "untill": "until", "wich": "which", "teh": "the",
+    "adress": "address", "calender": "calendar", "freind": "friend", "suprise": "surprise", "goverment": "government", "begining": "beginning", "neccessary": "necessary",
+}
 
 
 def grammar_counts(text: Column) -> dict[str, Column]:
-    """Findings per rule: doubled words, a before a vowel, an before a consonant, double blanks or stops, misspellings."""
-    slips = r"(?i)\b(" + "|".join(MISSPELLINGS) + r")\b"
+    """Findings per rule: doubled words, a before a vowel, an before a consonant, double blanks or stops, misspellings.
+
+    Words are runs of ASCII letters, in any case; a doubled word follows its like after white space only.
+    """
+    runs = F.regexp_extract_all(ascii_lower(text), F.lit(r"[a-z]+|[^a-z \t\n\r\f\x0b]+"), F.lit(0))
+    next_ = F.slice(runs, 2, F.greatest(F.size(runs) - 1, F.lit(0)))
+    pairs = F.zip_with(runs, next_, lambda x, y: F.coalesce(x == y, F.lit(False)) & x.rlike("^[a-z]"))
     return {
-        "doubled": F.regexp_count(text, F.lit(r"(?i)\b([a-z]+) \1\b")),
+        "doubled": F.size(F.filter(pairs, lambda x: x)),
         "a_vowel": F.regexp_count(text, F.lit(r"(?<![A-Za-z0-9_])[Aa] [aeiouAEIOU]")),
         "an_consonant": F.regexp_count(text, F.lit(r"(?<![A-Za-z0-9_])[Aa]n [b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z]")),
         "double_space": F.regexp_count(text, F.lit(r"  +|\.\.")),
-        "misspelled": F.regexp_count(text, F.lit(slips)),
+        "misspelled": F.size(F.filter(runs, lambda x: x.isin(*MISSPELLINGS))),
     }
 
 
+#: Rule -> the pattern of a finding, for grammar_findings; misspellings are told by their words.
+_RULES = {
+    "doubled": r"(?i)(?<![A-Za-z])([a-z]+)(?=[ \t\n\r\f\x0b]+\1(?![A-Za-z]))",
+    "a_vowel": r"(?<![A-Za-z0-9_])[Aa] (?=[aeiouAEIOU])",
+    "an_consonant": r"(?<![A-Za-z0-9_])[Aa]n (?=[b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z])",
+    "double_space": r"  +|\.\.",
+    "misspelled": r"(?i)(?<![A-Za-z])(?:" + "|".join(MISSPELLINGS) + r")(?![A-Za-z])",
+}
+
+
+def grammar_findings(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, rule, start, length, advice) of every finding, starts from 1 in characters. SQL has no places of matches."""
+    import pyarrow as pa
+
+    schema = pa.schema([(id_col, pa.int64()), ("rule", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("advice", pa.string())])
+    rules = {k: re.compile(p) for k, p in _RULES.items()}
+
+    def run(batches):
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = [(i, k, m.start() + 1, m.end() - m.start(), MISSPELLINGS.get(m[0].lower())) for k, p in rules.items() for m in p.finditer(t or "")]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found), schema)], schema=schema)
+
+    return df.select(F.col(id_col).cast("long"), text).mapInArrow(run, f"{id_col} long, rule string, start int, length int, advice string")
+
+
 def line_stats(text: Column) -> dict[str, Column]:
     return {"lines": F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, "chars": F.length(text), "words": F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))}
 
 
+def find_count(text: Column, needle: str) -> Column:
+    """Occurrences of a text that is not empty, not overlapping."""
+    return ((F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))) / len(needle)).cast("long")
+
+
 def find_in_context(df: DataFrame, id_col: str, text: str, needle: str, before: int = 40, after: int = 60) -> DataFrame:
-    """(id, at, line, context) of each occurrence, not overlapping, positions from 1."""
-    parts = F.split(F.col(text), re.escape(needle), -1)
+    """(id, at, line, context) of each occurrence, not overlapping, positions from 1.
+
+    An Arrow map that carries place and line from one occurrence to the next: SQL functions have no
+    places of matches but by counting anew what stands before each.
+    """
+    import pyarrow as pa
+
+    types = dict(df.dtypes)
     n = len(needle)
-    hits = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, p: a + F.length(p) + n) - n + 1)
-    found = df.where(F.contains(F.col(text), F.lit(needle))).select(id_col, text, F.explode(hits).alias("at"))
-    head = F.left(text, F.col("at") - 1)
-    context = F.col(text).substr(F.greatest(F.col("at") - before, F.lit(1)), F.least(F.col("at") - 1, F.lit(before)) + n + after)
-    return found.select(id_col, "at", (F.regexp_count(head, F.lit("\n")) + 1).alias("line"), context.alias("context"))
+
+    def run(batches):
+        for b in batches:
+            ids, texts = b.column(0), b.column(1).to_pylist()
+            rows, at_, line_, context_ = [], [], [], []
+
+            def flush():
+                out = [ids.take(pa.array(rows)), pa.array(at_, pa.int32()), pa.array(line_, pa.int32()), pa.array(context_, pa.string())]
+                for x in (rows, at_, line_, context_):
+                    x.clear()
+                return pa.RecordBatch.from_arrays(out, names=[id_col, "at", "line", "context"])
+
+            for k, t in enumerate(texts):
+                at, line, last = t.find(needle), 1, 0
+                while at >= 0:
+                    line += t.count("\n", last, at)
+                    rows.append(k)
+                    at_.append(at + 1)
+                    line_.append(line)
+                    context_.append(t[max(at - before, 0) : at + n + after])
+                    last, at = at, t.find(needle, at + n)
+                    if len(rows) >= 20_000:
+                        yield flush()
+            if rows:
+                yield flush()
+
+    held = df.where(F.contains(F.col(text), F.lit(needle))).select(id_col, text)
+    return held.mapInArrow(run, f"`{id_col}` {types[id_col]}, at int, line int, context string")
 
 
 def book_index(docs: DataFrame, id_col: str, text: str, terms: DataFrame) -> DataFrame:
@@ -102,8 +171,17 @@ def script_tag(text: Column) -> Column:
 
 
 def redact(text: Column, pattern: str, sign: str = "█") -> Column:
-    """Each character of what matches becomes a block; single-character patterns stay JVM-side in one pass."""
-    return F.regexp_replace(text, pattern, sign)
+    """Each character of what matches (not the empty text) becomes a block."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.repeat(F.lit(sign), F.length(m)))
+    kept = F.split(text, pattern, -1)
+    pieces = F.zip_with(kept, found, lambda k, m: F.concat(k, F.coalesce(m, F.lit(""))))
+    return F.when(text == "", text).otherwise(F.array_join(pieces, ""))
+
+
+def redact_range(text: Column, start: int, length: int, sign: str = "█") -> Column:
+    """The characters from start (from 1) on become blocks; null where the range leaves the text."""
+    inside = (F.lit(start) >= 1) & (F.lit(length) >= 0) & (F.length(text) >= start + length - 1)
+    return F.when(inside, F.overlay(text, F.lit(sign * length), F.lit(start), F.lit(length)))
 
 
 def summary(text: Column, most: int = 3) -> Column:
@@ -113,12 +191,14 @@ def summary(text: Column, most: int = 3) -> Column:
 
 
 def expand(template: str, fields: dict[str, Column]) -> Column:
-    """${name} and {name} replaced by columns, unknown names kept."""
-    out = F.lit(template)
-    for name, c in fields.items():
-        value = F.coalesce(c.cast("string"), F.lit(""))
-        out = F.replace(F.replace(out, F.lit("${" + name + "}"), value), F.lit("{" + name + "}"), value)
-    return out
+    """${name} and {name} replaced by columns in one pass over the template, unknown names kept."""
+    parts, at = [], 0
+    for m in re.finditer(r"\$\{([^{}]*)\}|\{([^{}]*)\}", template):
+        name = m[1] if m[1] is not None else m[2]
+        if name in fields:
+            parts += [F.lit(template[at : m.start()]), F.coalesce(fields[name].cast("string"), F.lit(""))]
+            at = m.end()
+    return F.concat(*parts, F.lit(template[at:]))
 
 
 def mail_message(to: Column, sender: Column, subject: Column, date: Column, body: Column) -> Column:

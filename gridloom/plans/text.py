@@ -55,12 +55,19 @@ def doc_grammar_aan_all(t: Tables):
     return t.documents.select("doc_id", g["a_vowel"].cast("long").alias("a_vowel"), g["an_consonant"].cast("long").alias("an_consonant"))
 
 
-@query()
+@query(f"""WITH r AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+|[^a-z \\t\\n\\r\\f\\x0b]+') AS runs FROM documents)
+SELECT doc_id, len(list_filter(range(1, len(runs)), lambda i: runs[i] = runs[i + 1] AND regexp_matches(runs[i], '^[a-z]')))::INT AS doubled,
+len(list_filter(runs, lambda x: x IN ({", ".join(f"'{w}'" for w in text.MISSPELLINGS)})))::INT AS misspelled FROM r""")
 def doc_grammar_doubled(t: Tables):
     g = text.grammar_counts(F.col("text"))
     return t.documents.select("doc_id", g["doubled"].alias("doubled"), g["misspelled"].alias("misspelled"))
 
 
+@query()
+def doc_grammar_findings(t: Tables):
+    return text.grammar_findings(t.documents, "doc_id", "text")
+
+
 @query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '[^\x00-\x7F]') THEN 'und' ELSE 'en' END AS tag FROM documents")
 def doc_script_tag(t: Tables):
     return t.documents.select("doc_id", text.script_tag(F.col("text")).alias("tag"))
@@ -85,7 +92,7 @@ def doc_find_hits(t: Tables):
 
 @query("SELECT doc_id, (length(text) - length(replace(text, 'the', ''))) // 3 AS n FROM documents WHERE contains(text, 'the')")
 def doc_find_count(t: Tables):
-    return text.find_in_context(t.documents, "doc_id", "text", "the").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return t.documents.where(F.contains("text", F.lit("the"))).select("doc_id", text.find_count(F.col("text"), "the").alias("n"))
 
 
 _TERM = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{80}-\x{10FFFF}]+(?:''[A-Za-z\x{80}-\x{10FFFF}]+)*')"
@@ -138,7 +145,10 @@ def doc_base64_whole(t: Tables):
     return t.documents.select("doc_id", F.sha2(F.regexp_replace(b, r"\s", ""), 256).alias("digest"), (F.decode(F.unbase64(b), "UTF-8") == F.col("text")).alias("same"))
 
 
-@query()
+_INNER, _OUTER = ("".join(f"{x ^ p:02x}" for x in b"secret".ljust(64, b"\0")) for p in (0x36, 0x5C))
+
+
+@query(f"SELECT doc_id, sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(text)))) AS signature FROM documents")
 def doc_hmac(t: Tables):
     return t.documents.select("doc_id", solve.hmac_sha256("secret", F.col("text")).alias("signature"))
 

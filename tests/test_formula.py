@@ -48,3 +48,27 @@ def test_cycles_and_order(spark):
     w = Workbook({("s", 1, 1): "=B1+1", ("s", 1, 2): "=A1+1", ("s", 1, 3): "=A1*2", ("s", 2, 1): "=B2+1", ("s", 2, 2): "=C2*2", ("s", 2, 3): 5})
     got = {(r["row"], r["col"]): (r["text"], r["err"]) for r in w.recalculate(spark).collect()}
     assert got == {(1, 1): (None, "#CYCLE!"), (1, 2): (None, "#CYCLE!"), (1, 3): (None, "#CYCLE!"), (2, 1): ("11.0", None), (2, 2): ("10.0", None)}
+
+
+BLANKS = {'[x]&"!"': "!", "LEN([x])": 0, 'CONCATENATE("b",[x])': "b", 'TEXTJOIN("-",0,"b",[x])': "b-", "AVERAGE([x],3)": 1.5, "MIN([x],3)": 0, "MEDIAN([x],3,4)": 3, "COUNTBLANK([x],[t],1)": 2, "COUNTA([x],[t],1)": 1, "COUNT([x],1)": 1, "[x]+1": 1, "[x]=0": True, '[t]=""': True, "[x]=[t]": True, '[x]="a"': False, "IF([x],1,2)": 2, "[x]<1": True}
+LOST = {'PMT("abc",12,100)': "#VALUE!", 'WEEKDAY("x")': "#VALUE!", 'LARGE(1,"x")': "#NUM!", "SUMPRODUCT(1/0,2)": "#VALUE!", 'REPLACE("abc","x",1,"z")': "#VALUE!", 'SUBSTITUTE("a","a",1/0)': "#DIV/0!", 'TEXTJOIN("-",1,"a",1/0)': "#DIV/0!", 'FIND(1/0,"a")': "#DIV/0!", "PMT(0,0,1)": "#DIV/0!"}
+DATES = {"DATE(1900,1,1)": 1, "YEAR(1)": 1900, "DATE(1900,2,28)": 59, "DATE(1900,2,29)": 60, "DATE(1900,3,1)": 61, "DAY(59)": 28, "MONTH(61)": 3, "DATE(2026,2,30)": 46083}
+
+
+def test_blanks_errors_and_early_dates(spark):
+    from gridloom.functions.formula import with_formulas
+
+    df = spark.createDataFrame([(None, None)], "x double, t string")
+    for want in (BLANKS, LOST, DATES):
+        row = with_formulas(df, {f"v{i}": f for i, f in enumerate(want)}, errors=True).first()
+        got = {f: row[f"v{i}_err"] if want is LOST else row[f"v{i}"] for i, f in enumerate(want)}
+        assert got == want
+
+
+def test_long_chains(spark):
+    """A thousand cells, each with two uses of the one before."""
+    cells = {("", 1, 1): 1} | {("", r, 1): f"=MOD(A{r - 1}+A{r - 1},1000003)" for r in range(2, 1001)}
+    want = 1
+    for _ in range(999):
+        want = 2 * want % 1000003
+    assert Workbook(cells).evaluate(spark, {"v": "A1000"}).first()["v"] == want
