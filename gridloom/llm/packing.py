@@ -2,7 +2,9 @@
 
 Only the histogram of lengths (at most max_len rows) reaches the driver. There patterns of one to
 three lengths that fill a sequence exactly are enumerated, repeat counts are fitted to the histogram
-by NNLS and rounded, and what is left is packed best-fit decreasing. The plan says which ranks of each
+by NNLS and rounded, and what is left is packed best-fit decreasing. Counts are rounded to the nearest
+number, and once more with every pattern of a positive count used at least once while lengths last; the
+plan of fewer sequences stands. The plan says which ranks of each
 length go where; ranks within a length are counted in a distributed way, salted by document.
 """
 
@@ -128,20 +130,27 @@ def plan_packing(hist: dict[int, int], max_len: int = MAX_LEN) -> list[tuple[tup
         p = patterns(np.array(sorted(left)), max_len)
         if len(p):
             x = nnls_counts(p, counts)
-            for i in np.argsort(-x, kind="stable"):
-                if x[i] < 0.5:
-                    break
-                held = tuple(int(a) for a in p[i] if a)[::-1]
-                need = {a: held.count(a) for a in held}
-                n = min(int(x[i] + 0.5), *(left.get(a, 0) // k for a, k in need.items()))
-                if n:
-                    plan.append((held, n))
-                    for a, k in need.items():
-                        left[a] -= n * k
-        plan += _best_fit({k: v for k, v in left.items() if v}, max_len)
+            plans = [_rounded(p, x, left, max_len, least) for least in (1e-9, 0.5)]
+            return plan + min(plans, key=lambda y: sum(n for _, n in y))  # of equals that with more patterns
+        plan += _best_fit(left, max_len)
     return plan
 
 
+def _rounded(p: np.ndarray, x: np.ndarray, hist: dict[int, int], max_len: int, least: float) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns in order of their counts x, those of at least `least` once or more as far as lengths last; the rest best-fit."""
+    left, plan, order = dict(hist), [], np.argsort(-x, kind="stable")
+    order = order[: np.count_nonzero(x >= least)]
+    for triple, n in zip(p[order].tolist(), np.maximum(1, np.floor(x[order] + 0.5)).astype(np.int64).tolist()):
+        held = tuple(a for a in triple if a)[::-1]
+        for a in set(held):
+            n = min(n, left.get(a, 0) // held.count(a))
+        if n:
+            plan.append((held, n))
+            for a in held:
+                left[a] -= n
+    return plan + _best_fit({k: v for k, v in left.items() if v}, max_len)
+
+
 def _slots(plan: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of ranks of each length: key (length, first rank), first rank, first sequence, offset."""
     used: dict[int, int] = defaultdict(int)
@@ -168,20 +177,20 @@ def pack(found: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
         raise ValueError(f"lengths must lie in 1..{max_len}")
     salts = max(64, sum(hist.values()) // RANKED)
     key, first, base, at = _slots(plan_packing(hist, max_len))
-    rows = found.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    sizes = rows.groupBy("length", "_salt").count()
-    before = sizes.select("length", "_salt", (F.sum("count").over(Window.partitionBy("length").orderBy("_salt")) - F.col("count")).alias("_before"))
-    order = [c for c in ("doc_id", "piece", "ids_crc32") if c in found.columns]
-    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)))
-    rows = rows.join(before, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_rank") - 1).select(*found.columns, "_rank")
-
     names = list(found.columns)
+    # the columns of found travel in a struct, so none of ours can clash with them
+    rows = found.select(F.struct(*names).alias("row"), "length", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int").alias("salt"))
+    sizes = rows.groupBy("length", "salt").count()
+    before = sizes.select("length", "salt", (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"))
+    order = [F.col("row")[c] for c in ("doc_id", "piece", "ids_crc32") if c in names]
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)))
+    rows = rows.join(before, ["length", "salt"]).select("row", "length", (F.col("before") + F.col("rank") - 1).cast("long").alias("rank"))
 
     def run(batches):
         for b in batches:
-            rank = b.column("_rank").to_numpy()
+            rank = b.column("rank").to_numpy()
             i = np.searchsorted(key, (b.column("length").to_numpy() << 44) | rank, side="right") - 1
-            keep = [b.column(n) for n in names]
+            keep = [b.column("row").field(n) for n in range(len(names))]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(base[i] + rank - first[i], pa.int64()), pa.array(at[i], pa.int64())], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in found.dtypes) + ", sequence_id long, offset long"
