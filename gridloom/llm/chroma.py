@@ -172,6 +172,8 @@ def align(media: DataFrame, id_col: str, samples_col: str, every: int = 50, rend
     class_id, offset, error, overlap) of distinct classes that share a key but for one bit, if at most
     MOST_ERROR of the bits differ over LEAST frames or more; of the TOP offsets with most shared keys,
     that with the fewest errors (the smallest of equals). Copies are one class, so no group of copies is paired.
+    Null, empty and short recordings are one class without frames, which matches nothing; a class whose ids
+    are all null is in the first table but matches nothing; an empty table gives two empty ones.
     """
     found = materialize(fingerprints(media, id_col, samples_col, render).withColumn("h1", F.xxhash64("fp")), "chroma")
     classes = found.groupBy("h1", "crc").agg(F.min("id").alias("class_id"), F.first("fp").alias("fp"), F.max(F.coalesce(F.col("id") % every == 0, F.lit(False))).alias("asked"))

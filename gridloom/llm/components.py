@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import drop_table, materialize
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of an edge table (a, b): root is the smallest node reachable.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014), each written to the
@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null and a <> b").distinct()
     e = materialize(e, "edges")
-    for _ in range(most_rounds):
+    while True:  # each round brings every node nearer to its smallest
         rows = e.count()
         # the smallest neighbour of each node that has a smaller one: others are their own minimum
         least = materialize(e.groupBy("a").agg(F.min("b").alias("m")), "least", rows)
@@ -33,4 +33,3 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         drop_table(e)
         drop_table(least)
         e = after
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -265,7 +265,8 @@ def encode_nbest(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     """(doc_id, segmentations array<struct<score, ids binary>>, decoded) of every row, best first.
 
     decoded is the text that the best ids give. Null text counts as empty; null ids and repeated rows
-    stay; an empty table gives no rows.
+    stay; an empty table gives no rows. Of equal scores comes first the best way itself, then departures
+    in the order of the text; within a part the order of search(). Other columns of docs are not read.
     """
     kind = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.binary())]))
 

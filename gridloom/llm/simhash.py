@@ -427,6 +427,11 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     candidates are read once more and searched by the exact similarity. Nulls, empty texts and repeated
     rows: as for simhash_classes.
     """
+    return _similar(docs, id_col, text_col, shingle, similarity, words, block, reach).select("doc_id", "component_id")
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, words: int = WORDS, block: int = BLOCK, reach: int = REACH) -> DataFrame:
+    """similar_classes with t1, a hash of the text."""
     p = bit_error(similarity)
     most = math.floor(VERIFY_BITS * p + ROOM * math.sqrt(VERIFY_BITS * p * (1 - p)))
     fps = materialize(fingerprints(docs, id_col, text_col, shingle, words, sets=True), "fingerprints")
@@ -443,7 +448,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([b.column("comp"), b.column("node"), _lists([shingle_set(t, shingle) for t in b.column("text").to_pylist()])], names=["comp", "node", "s"])
 
     sets = materialize(texts.select("comp", "node", "text").mapInArrow(run, "comp long, node long, s array<long>"), "sets")
-    return _classes(fps.select("doc_id", "node"), nodes, similar_sets(sets, similarity)).select("doc_id", "component_id")
+    return _classes(fps.select("doc_id", "t1", "node"), nodes, similar_sets(sets, similarity)).select("doc_id", "t1", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -452,6 +457,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows that share this id, all stay: ids name documents. Rows with a null id stay only in
     classes without any id.
     """
-    classes = similar_classes(docs, id_col, text_col, shingle, similarity)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
+    classes = _similar(docs, id_col, text_col, shingle, similarity).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # without an id the text tells which row it is
+    kept = classes.select(F.col("doc_id").alias("kept_id"), F.when(F.col("doc_id").isNull(), F.col("t1")).alias("kept_text")).distinct()
+    text = F.when(docs[id_col].isNull(), F.xxhash64(small_text(docs[text_col])))
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]) & text.eqNullSafe(kept["kept_text"]), "left_semi")

@@ -123,7 +123,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if window <= PERIOD:
         raise ValueError(f"a window needs more than {PERIOD} words")
     spark, anchor = docs.sparkSession, window - PERIOD + 1
-    other = F.struct(F.lit(0).alias("_"), *[docs[c] for c in carry])
+    filler = "_" * (1 + max(map(len, carry), default=0))  # a struct needs a column; its name clashes with none
+    other = F.struct(F.lit(0).alias(filler), *[docs[c] for c in carry])
     keyed = docs.select(docs[id_col].cast("long").alias("doc_id"), small_text(docs[text_col]).alias("text"), other.alias("other"))
     keyed = keyed.withColumn("row", F.xxhash64("doc_id", "text", "other"))
     cover = np.array(COVER)

@@ -19,8 +19,6 @@ from .common import materialize, small_text, text_groups
 
 #: Labelled rows that a model is fitted on at most, chosen by a hash of their id.
 SAMPLE = 20_000
-#: Entries of the learned lexicon at most.
-LEXICON = 4_000
 #: Standard errors by which the log odds of a lexicon key exceed zero.
 SURE = 3.3
 PREFIX = 4
@@ -190,7 +188,7 @@ def _lexicon(rows: list, pos: int, neg: int, a: str, n: str) -> dict[str, float]
             most[r["key"][:PREFIX] + "-"] = max(p, most.get(r["key"][:PREFIX] + "-", 0))
     # a prefix adds nothing where one word makes up most of it
     found = [x for x in found if x[1][-1] != "-" or most.get(x[1], 0) < 0.8 * x[3]]
-    return {w: 3.0 for w in SEEDS} | {k: odds for _, k, odds, _ in sorted(found, reverse=True)[:LEXICON]}
+    return {w: 3.0 for w in SEEDS} | {k: odds for _, k, odds, _ in sorted(found, reverse=True)}
 
 
 def _feature_rows(df: DataFrame, lexicons: list[dict[str, float]], which: str, keep: list[str]) -> DataFrame:
@@ -239,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     counts = rows.mapInArrow(keys, "key string, y int, half int").groupBy("key").agg(*[F.coalesce(F.sum(F.expr(e)), F.lit(0)).alias(n) for n, e in (("n0", "1 - half"), ("n1", "half"), ("a0", "y * (1 - half)"), ("a1", "y * half"))])
     counts = counts.withColumn("n", F.col("n0") + F.col("n1")).withColumn("a", F.col("a0") + F.col("a1")).where("a >= 3 and 2 * a > n")
-    top = counts.orderBy(F.desc(F.col("a") * F.col("a") / F.col("n")), "key").limit(10 * LEXICON).collect()
+    top = counts.orderBy("key").collect()  # keys of three labelled texts or more, so the sample bounds them
     lexicons = [_lexicon(top, pos[1 - k], neg[1 - k], f"a{1 - k}", f"n{1 - k}") for k in (0, 1)]
     got = _feature_rows(rows, lexicons, "half", ["y", "half"]).collect()  # `sample` rows at most
     x, y, half = np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float), np.array([r["half"] for r in got])

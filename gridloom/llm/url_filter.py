@@ -136,7 +136,7 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str
     are empty. A rule fits its host and all subdomains if the URL's path starts with the rule's. The
     rule with most characters wins, of equally long ones that with the longer host; a pair of host and
     path that is listed as both is blocked. Without a fitting rule: rule null and the default. Null URLs
-    have empty host and path; repeated rows stay. Lists too long for cascades of MOST_BITS are joined on
+    have empty host and path; repeated rows stay; an empty table gives no rows. Lists too long for cascades of MOST_BITS are joined on
     their keys instead, with the same result.
     """
     if not isinstance(rules, DataFrame):

@@ -46,7 +46,8 @@ def chunk_rows(pages: DataFrame, id_col: str, url_col: str, payload_col: str, le
 
     Null payloads are empty. Of rows with equal payloads of at least least_bytes bytes those with the
     smallest id are responses and the others revisits; a null id is larger than any other. A revisit
-    is one chunk without data.
+    is one chunk without data. Only digests meet by digest. The list of revisits then meets the rows by
+    id: broadcast if Spark finds it small enough, else by a shuffle of the rows with their payloads.
     """
     payload = F.encode(F.coalesce(pages[payload_col], F.lit("")), "UTF-8")
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), payload.alias("payload"))
@@ -206,6 +207,10 @@ def record_table(chunks: DataFrame) -> DataFrame:
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """Writes a record per row to archives in the shared folder, and reads the record table back."""
+    """Writes a record per row to archives in the shared folder, and reads the record table back.
+
+    Nulls, copies and ids: see chunk_rows. Repeated rows stay, a payload of any length travels in chunks,
+    an empty table gives no rows. Other columns of pages are not read.
+    """
     archives = write_archives(chunk_rows(pages, id_col, url_col, payload_col, least_bytes), work_dir(spark, "warc"))
     return record_table(read_chunks(archives, with_data=False))

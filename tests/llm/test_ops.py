@@ -347,6 +347,24 @@ def test_similar_sets_search_large_components(spark, monkeypatch):
     assert {i: roots.get(i, i) for i in comp} == want and len(set(want.values())) > 10
 
 
+def test_a_large_class_of_near_copies(spark):
+    """Twenty thousand texts that differ in one word each, and as many exact copies of another, are two classes."""
+    w = [f"{k}x" for k in range(60)]
+    rows = spark.range(20_000).selectExpr("id AS doc_id", f"concat('{' '.join(w[:30])} e', id, ' {' '.join(w[30:])}') AS text")
+    rows = rows.union(spark.range(20_000, 40_000).selectExpr("id", "'" + " ".join(f"y{k}" for k in range(50)) + "'"))
+    got = simhash.similar_classes(rows).groupBy("component_id").count().collect()
+    assert {r["component_id"]: r["count"] for r in got} == {0: 20_000, 20_000: 20_000}
+
+
+def test_block_recall():
+    """The chance by the formula is that of random fingerprints whose bits differ as those of a pair of similarity 0.8."""
+    blocks, r = simhash.WORDS * (64 // simhash.BLOCK), np.random.default_rng(9)
+    same = (r.random((20_000, blocks, simhash.BLOCK)) >= simhash.bit_error(0.8)).all(axis=2)
+    met = np.logical_or.reduce([same & np.roll(same, -d, axis=1) for d in range(1, simhash.REACH + 1)]).any(axis=1).mean()
+    want = simhash.block_recall(0.8, blocks, simhash.BLOCK, simhash.REACH)
+    assert want > 0.985 and abs(met - want) < 0.004
+
+
 # 6 --------------------------------------------------------------------------------------------------
 
 
@@ -460,6 +478,27 @@ def test_nbest(spark, texts):
 # 9 --------------------------------------------------------------------------------------------------
 
 
+def test_plans_use_patterns():
+    """Most pieces lie in exact patterns, and the sequences are as few as the tokens allow."""
+    r = np.random.default_rng(6)
+    hist = collections.Counter(np.minimum(2048, r.lognormal(6, 1, 20_000).astype(int) + 1).tolist())
+    plan = packing.plan_packing(dict(hist))
+    held = collections.Counter()
+    for lengths, n in plan:
+        assert sum(lengths) <= 2048
+        for a in lengths:
+            held[a] += n
+    assert held == hist
+    assert sum(n for _, n in plan) <= 1.002 * sum(a * n for a, n in hist.items()) / 2048 + 1
+    assert sum(len(x) * n for x, n in plan if sum(x) == 2048 and len(x) <= 3) > 0.5 * sum(hist.values())
+
+
+def test_packing_columns_may_clash(spark):
+    rows = spark.createDataFrame([(i, 0, 0, 100 + i % 7, i, i, i, i, "r") for i in range(200)], "doc_id long, piece int, start long, length long, _salt int, _rank long, salt int, rank long, row string")
+    out = packing.pack(rows)
+    assert out.columns == [*rows.columns, "sequence_id", "offset"] and sorted(r["rank"] for r in out.collect()) == list(range(200))
+
+
 def check_packing(rows, want, most):
     """rows: pieces with places; want: ids of each document."""
     docs, seqs = collections.defaultdict(list), collections.defaultdict(list)

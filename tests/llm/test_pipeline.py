@@ -87,3 +87,31 @@ def test_sql(spark, name):
 def test_held_out_rows_are_the_contracts(spark):
     got = queries.op10_toxicity(spark, DATA).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+
+
+def odd_docs(spark, texts, ids):
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row string, node long, label int, _ string, kept_id long, comp long"
+    rows = [(i, t, "en", None, None if t is None else len(t), "r", 1, 2, "x", 3, 4) for i, t in zip(ids, texts)]
+    return spark.createDataFrame(rows, kind).repartition(3)
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls, empty and very long texts, ties, repeated rows, clashing columns, an empty table."""
+    words = " ".join(f"w{i}" for i in range(60))
+    long = " ".join(f"l{i % 9973}_{i}" for i in range(300_000))  # 3.5 MB
+    texts = [words, words, words + " end", None, None, "", " ", "\n", long, long + " x", "a", "a", "été " * 50, "one two three"]
+    ids = [5, 5, 7, 1, None, 2, 3, 4, 9, 10, 11, 11, None, 12]
+    for docs in (odd_docs(spark, texts, ids), odd_docs(spark, texts, ids).limit(0)):
+        n, columns = docs.count(), docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, DATA).cache()
+            got = out.collect()
+            if name == "toxicity":
+                assert len(got) == n
+            if name == "near_duplicates" and n:
+                assert sorted(str(r["doc_id"]) for r in got) == sorted(map(str, [5, 5, 1, 9, 11, 11, None, 12]))
+            if name != "packing":
+                assert out.columns == columns
+            else:
+                assert len({r["doc_id"] for r in got}) == (6 if n else 0) and all(r["length"] <= 2048 for r in got)
+            docs = out
