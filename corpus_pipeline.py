@@ -1,4 +1,9 @@
-"""A cleaning pipeline over documents, each stage one operator of gridloom.llm."""
+"""A cleaning pipeline over documents, each stage one operator of gridloom.llm.
+
+Null texts count as empty ones and stay, but for copies of each other; rows with a null doc_id go only as
+copies of rows that have one; repeated rows are one document and stay or go together; other columns stay
+as they are until the packing, whatever their names; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 

@@ -82,16 +82,17 @@ def with_rank(df: DataFrame, keys: list[Column], name: str = "pos", parts: int =
     Rows are range-partitioned by the first key through its approximate quantiles (`parts` numbers), ranked
     within a range, and ranges are offset by the sizes of those before. The first key must be numeric.
     """
-    first = keys[0]
-    df = df.withColumn("_k", first[0].cast("double"))
-    cuts = sorted(set(df.stat.approxQuantile("_k", [i / parts for i in range(1, parts)], 0.001)))
-    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>"), lambda c: c < F.col("_k")))
-    df = df.withColumn("_r", -place if first[1] else place)
-    order = [F.col("_k").desc() if first[1] else F.col("_k").asc(), *[k[0].desc() if k[1] else k[0].asc() for k in keys[1:]]]
-    sizes = df.groupBy("_r").count()
-    before = sizes.select("_r", (F.sum("count").over(Window.orderBy("_r")) - F.col("count")).alias("_b"))  # `parts` rows
-    ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy("_r").orderBy(*order)))
-    return ranked.join(F.broadcast(before), "_r").withColumn(name, F.col("_n") + F.col("_b")).drop("_r", "_n", "_b", "_k")
+    first, own = keys[0], "_" * (1 + max(map(len, df.columns)))  # no column of df begins so
+    key, part, rank, ahead = (own + x for x in "krnb")
+    df = df.withColumn(key, first[0].cast("double"))
+    cuts = sorted(set(df.stat.approxQuantile(key, [i / parts for i in range(1, parts)], 0.001)))
+    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(key)))
+    df = df.withColumn(part, -place if first[1] else place)
+    order = [F.col(key).desc() if first[1] else F.col(key).asc(), *[k[0].desc() if k[1] else k[0].asc() for k in keys[1:]]]
+    sizes = df.groupBy(part).count()
+    before = sizes.select(part, (F.sum("count").over(Window.orderBy(part)) - F.col("count")).alias(ahead))  # `parts` rows
+    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
+    return ranked.join(F.broadcast(before), part).withColumn(name, F.col(rank) + F.col(ahead)).drop(key, part, rank, ahead)
 
 
 def apply_scenario(df: DataFrame, overrides: DataFrame, keys: list[str], column: str) -> DataFrame:
