@@ -9,6 +9,8 @@ cancels. A cell with one digest left gives it away, which takes it out of two mo
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,6 @@ PIECE = 16
 SIDE = 5
 #: Passes over the three subtables in one attempt.
 PASSES = 5
-ATTEMPTS = 6
 #: Tasks of an attempt for each shuffle partition: a digest of eight bytes becomes rows of some hundred.
 SPREAD = 3
 
@@ -72,6 +73,7 @@ def _updates(subtable: int, seed: int) -> Column:
 def peel(pairs: DataFrame, attempt: int) -> DataFrame:
     """(h1, h2, pair, first, second, stuck) of pairs (h1, h2, pair, a, b): digests recovered on either side.
 
+    Attempt 0 has tables as small as the fingerprints; later ones by the numbers of digests, doubled each time.
     pairs must be partitioned by (h1, h2): all passes then run in one stage without a shuffle.
     """
     both = F.size("a") + F.size("b")
@@ -96,12 +98,13 @@ def likeness(sketched: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFram
     """(h1, h2, pair, near): share of paragraphs in common (Jaccard) of two digest columns of each row.
 
     sketched: a written table, a row per (h1, h2). pairs: name -> (first column, second column). Two
-    empty sides are alike (1.0). Attempts take larger tables for the pairs that got stuck; what the last one leaves is compared digest by digest.
+    empty sides are alike (1.0). The first tables hold as many differences as the two sides can have, but for
+    bad luck; pairs that get stuck are sketched anew, twice as large and with other places, until all are peeled.
     """
     n = SPREAD * partitions(sketched.sparkSession)
     columns = sorted({c for p in pairs.values() for c in p})
     wanted, done = None, []
-    for attempt in range(ATTEMPTS):
+    for attempt in count(1):
         rows = sketched.select("h1", "h2", *columns)
         if wanted is not None:
             rows = rows.join(wanted, ["h1", "h2"])
@@ -116,11 +119,6 @@ def likeness(sketched: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFram
         if stuck.isEmpty():
             break
         wanted = stuck.groupBy("h1", "h2").agg(F.collect_set("pair").alias("stuck_pairs"))  # as many as pairs has
-    else:
-        rows = sketched.select("h1", "h2", *columns).join(wanted, ["h1", "h2"])
-        options = [F.struct(F.lit(name).alias("pair"), F.size(F.array_except(a, b)).cast("long").alias("first"), F.size(F.array_except(b, a)).cast("long").alias("second")) for name, (a, b) in pairs.items()]
-        rows = rows.select("h1", "h2", "stuck_pairs", F.explode(F.array(*options)).alias("p")).where(F.array_contains("stuck_pairs", F.col("p.pair")))
-        done.append(rows.select("h1", "h2", "p.pair", "p.first", "p.second"))
     found = done[0]
     for d in done[1:]:
         found = found.union(d)
@@ -157,7 +155,8 @@ def version_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The edited text has the last floor(n_chars / 3) code points replaced by the first as many (or all)
     of the next document in descending id order, the first following the last. Null texts are empty;
     a null id comes last; rows of equal id follow each other by hashes of id and text; rows equal in
-    both are one document in that order and all get its result. A table of one document follows itself.
+    both are one document in that order and all get its result. A table of one document follows itself; an
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     text = small_text(docs[text_col])
