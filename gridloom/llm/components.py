@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from .common import drop_table, materialize
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, root) for each node of an edge table (a, b): root is the smallest node reachable.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014), each written to the
     shared folder, so no round's loss repeats the ones before. Only distributed joins and
     pre-aggregated minima: no node's neighbours are ever gathered, and the join in which a large star
     meets its centre has written tables on both sides, so that Spark can split it. Self-loops, repeated
-    and null-ended edges are ignored; an empty table gives an empty result.
+    and null-ended edges are ignored; an empty table gives an empty result. rows: about how many edges there
+    are, for the number of files only.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null and a <> b").distinct()
-    e = materialize(e, "edges")
+    e = materialize(e, "edges", rows)
     while True:  # each round brings every node nearer to its smallest
         rows = e.count()
         # the smallest neighbour of each node that has a smaller one: others are their own minimum

@@ -45,6 +45,8 @@ WORDS, BLOCK, REACH = 7, 9, 3
 VERIFY_BITS = 128
 #: Standard deviations of the Hamming distance that a candidate may lie above the mean of a pair just similar.
 ROOM = 3.5
+#: Links for each node, about: only how many files a table of links gets follows from it.
+EDGES = 4
 #: Shingles of one part of a large component (8 bytes each).
 PART_SHINGLES = 1 << 19
 
@@ -256,10 +258,10 @@ def _linked(nodes: DataFrame, keys: list[Column], verify: list[Column], distance
     labels. So a dense group does not emit its links once for each key.
     """
     n = nodes.count()
-    first = connected_components(close_pairs(nodes, keys[::FIRST], verify, distance))
+    first = connected_components(close_pairs(nodes, keys[::FIRST], verify, distance), EDGES * n)
     labelled = nodes.join(first, "node", "left").withColumns({"label": F.coalesce("root", "node"), "linked": F.col("root").isNotNull()})
     labelled = materialize(labelled.drop("root", "rep"), "labelled", n)
-    second = connected_components(close_pairs(labelled, [k for i, k in enumerate(keys) if i % FIRST], verify, distance, "label"))
+    second = connected_components(close_pairs(labelled, [k for i, k in enumerate(keys) if i % FIRST], verify, distance, "label"), EDGES * n)
     second = materialize(second.select(F.col("node").alias("label"), F.struct("root").alias("r")), "labels", n)
     rows = labelled.join(second, "label", "left").where("linked or r is not null")
     out = materialize(rows.select("node", "t", F.coalesce("r.root", "label").alias("comp")), "linked", n)
@@ -271,7 +273,7 @@ def _linked(nodes: DataFrame, keys: list[Column], verify: list[Column], distance
 def _classes(fps: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """fps (doc_id, node, ...) with component_id: the smallest doc_id reachable over links between nodes (node, rep)."""
     n = nodes.count()
-    roots = materialize(connected_components(links), "roots", n)
+    roots = materialize(connected_components(links, EDGES * n), "roots", n)
     ids = materialize(roots.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("component_id")), "ids", n)
     named = roots.join(ids, "root").select("node", F.struct("component_id").alias("c"))
     alone = F.when(F.col("c").isNull(), F.col("rep")).otherwise(F.col("c.component_id"))
