@@ -52,6 +52,7 @@ class WordTokenizer:
         self.kind = _kind(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.tokenize = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -62,8 +63,13 @@ class WordTokenizer:
 
     def _model(self, run: str) -> bytes:
         """Ids of a run that the pre-tokenizer leaves in one piece: the library's model alone sees it."""
-        mapped = (run.lower() if self.kind == "dropped" else run).encode().decode("latin1").translate(self.letters)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+        if self.kind == "dropped":
+            run = run.lower()
+        if run.isascii() and run[0] >= " ":  # visible signs stand for themselves
+            mapped = self.letters[32] + run[1:] if run[0] == " " else run
+        else:
+            mapped = run.encode().decode("latin1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
 
     def _run(self, run: str) -> bytes:
         if run not in self.runs:
