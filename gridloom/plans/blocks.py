@@ -18,7 +18,7 @@ def html_blocks(t: Tables):
     return blocks.html_blocks(t.pages, "page_id", "html").withColumn("idx", F.col("idx").cast("long"))
 
 
-_LINES = r"""SELECT doc_id, i - 1 AS idx, line, CASE WHEN regexp_matches(line, '^#+ ') THEN 'heading' WHEN regexp_matches(line, '^\s*[-*] ') THEN 'item' WHEN contains(line, ' | ') THEN 'row' ELSE 'paragraph' END AS kind, least(length(regexp_extract(line, '^(#+) ', 1)), 3) AS level,
+MARKDOWN_LINES = r"""SELECT doc_id, i - 1 AS idx, line, CASE WHEN regexp_matches(line, '^#+ ') THEN 'heading' WHEN regexp_matches(line, '^\s*[-*] ') THEN 'item' WHEN contains(line, ' | ') THEN 'row' ELSE 'paragraph' END AS kind, least(length(regexp_extract(line, '^(#+) ', 1)), 3) AS level,
 regexp_replace(regexp_replace(line, '^(#+ |\s*[-*] )', ''), '\*\*', '', 'g') AS text
 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(line, ' ') <> ''"""
 
@@ -27,12 +27,12 @@ def _markdown(t: Tables):
     return text.markdown_blocks(t.documents, "doc_id", "text")
 
 
-@query(f"WITH l AS ({_LINES}) SELECT doc_id, idx::BIGINT AS idx, kind, level::BIGINT AS level, md5(text) AS digest FROM l")
+@query(f"WITH l AS ({MARKDOWN_LINES}) SELECT doc_id, idx::BIGINT AS idx, kind, level::BIGINT AS level, md5(text) AS digest FROM l")
 def markdown_block_texts(t: Tables):
     return _markdown(t).select("doc_id", F.col("idx").cast("long").alias("idx"), "kind", F.col("level").cast("long").alias("level"), F.md5("text").alias("digest"))
 
 
-@query(rf"""WITH l AS ({_LINES}), c AS (SELECT doc_id, idx, string_split(regexp_replace(trim(text, ' '), '^\||\|$', '', 'g'), '|') AS parts FROM l WHERE kind = 'row'),
+@query(rf"""WITH l AS ({MARKDOWN_LINES}), c AS (SELECT doc_id, idx, string_split(regexp_replace(trim(text, ' '), '^\||\|$', '', 'g'), '|') AS parts FROM l WHERE kind = 'row'),
 u AS (SELECT doc_id, idx, unnest(parts) AS c, generate_subscripts(parts, 1) AS col FROM c)
 SELECT doc_id, idx::BIGINT AS idx, col::BIGINT AS col, trim(c, ' ') AS text FROM u WHERE NOT regexp_matches(trim(c, ' '), '^:?-+:?$')""")
 def markdown_cells(t: Tables):
@@ -43,7 +43,7 @@ def markdown_cells(t: Tables):
 _ESC = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
-@query(rf"""WITH l AS ({_LINES}), e AS (SELECT *, {_ESC} AS x FROM l)
+@query(rf"""WITH l AS ({MARKDOWN_LINES}), e AS (SELECT *, {_ESC} AS x FROM l)
 SELECT doc_id, md5(string_agg(CASE kind WHEN 'heading' THEN '<h' || level || '>' || x || '</h' || level || '>' WHEN 'item' THEN '<li>' || x || '</li>' WHEN 'row' THEN '<tr><td>' || x || '</td></tr>' ELSE '<p>' || x || '</p>' END, chr(10) ORDER BY idx)) AS html,
 md5(string_agg(CASE kind WHEN 'heading' THEN '\section{{' || text || '}}' WHEN 'item' THEN '\item ' || text WHEN 'row' THEN text || ' \\' ELSE text END, chr(10) ORDER BY idx)) AS latex,
 md5(string_agg(CASE kind WHEN 'heading' THEN '<head>' || x || '</head>' WHEN 'item' THEN '<item>' || x || '</item>' WHEN 'row' THEN '<row>' || x || '</row>' ELSE '<p>' || x || '</p>' END, chr(10) ORDER BY idx)) AS tei,

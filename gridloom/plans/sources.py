@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import text
 from ..sources import files
+from .blocks import MARKDOWN_LINES
 from .registry import Tables, query
 
 
@@ -60,7 +61,7 @@ def xlsx_scan(t: Tables):
     return files.read_xlsx(t.spark, path).where("col = 1").select("sheet", "row", "text")
 
 
-@query()
+@query(f"""WITH l AS ({MARKDOWN_LINES}) SELECT doc_id, string_agg(CASE kind WHEN 'heading' THEN repeat('#', level::INT) || ' ' || text WHEN 'item' THEN '- ' || text ELSE text END, chr(10) ORDER BY idx) AS markdown FROM l GROUP BY doc_id""")
 def markdown_write(t: Tables):
     return files.to_markdown(text.markdown_blocks(t.documents, "doc_id", "text"), "doc_id")
 

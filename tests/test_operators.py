@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions.coerce import num, num_to_text, to_num
-from gridloom.operators import filters, replicas, solve, tables, text
+from gridloom.operators import blocks, filters, replicas, solve, tables, text
 from gridloom.sources import files
 
 
@@ -115,3 +115,67 @@ def test_book_index_keeps_every_document(spark):
     terms = spark.createDataFrame([("ant",), ("bee",), ("dog",)], "term string")
     got = sorted(tuple(r) for r in text.book_index(docs, "doc_id", "text", terms).select("term", "doc_id").collect())
     assert got == [("ant", 1), ("ant", 2), ("ant", 3), ("bee", 1), ("bee", 2)]
+
+
+def test_grammar_findings(spark):
+    df = spark.createDataFrame([(1, "The the cat saw a apple.. Teh end"), (2, None), (3, "a cat an owl an dog")], "id long, t string")
+    got = {tuple(r) for r in text.grammar_findings(df, "id", "t").collect()}
+    assert got == {(1, "doubled", 1, 3, None), (1, "a_vowel", 17, 2, None), (1, "double_space", 24, 2, None), (1, "misspelled", 27, 3, "the"), (3, "an_consonant", 14, 3, None)}
+
+
+def test_find_in_context(spark):
+    df = spark.createDataFrame([(1, "aXb\nXX\n\nécX"), (2, None), (3, "")], "id long, t string")
+    got = [tuple(r) for r in text.find_in_context(df, "id", "t", "X", before=2, after=1).orderBy("at").collect()]
+    assert got == [(1, 2, 1, "aXb"), (1, 5, 2, "b\nXX"), (1, 6, 2, "\nXX\n"), (1, 11, 4, "écX")]
+
+
+def test_redaction_and_templates(spark):
+    row = spark.range(1).select(
+        text.redact(F.lit("mail a@b.c now"), r"\S+@\S+").alias("mail"), text.redact(F.lit(""), "x").alias("none"),
+        text.redact_range(F.lit("secret"), 2, 3).alias("range"), text.redact_range(F.lit("secret"), 5, 9).alias("out"),
+        text.expand("${a} {b} {c} $", {"a": F.lit("{b}"), "b": F.lit(None)}).alias("merged"),
+    ).first()
+    assert tuple(row) == ("mail █████ now", "", "s███et", None, "{b}  {c} $")
+
+
+def test_blocks(spark):
+    html = "<h2 class=x>T &amp; <b>u</b></h2>drop<p>a<br/>b</p><table><tr><td>1</td><th> 2 </th></tr></table><ul><li>i</li></ul><pre>no</pre>"
+    df = spark.createDataFrame([(1, html), (2, None)], "id long, html string")
+    got = [tuple(r) for r in blocks.html_blocks(df, "id", "html").orderBy("idx").collect()]
+    assert got == [(1, 0, "h2", True, "T &amp; u"), (1, 1, "p", False, "a b"), (1, 2, "tr", False, "1 | 2"), (1, 3, "li", False, "i")]
+    assert spark.range(1).select(blocks.wrap(F.lit("aa bb  cccccc d"), 5).alias("w")).first()["w"] == "aa bb\ncccccc\nd"
+
+
+def test_own_functions(spark):
+    from gridloom.functions import formula
+
+    formula.register("twice", lambda a: formula.V("num", formula.as_num(a[0]).col * 2, a[0].err))
+    assert formula.with_formulas(spark.range(1), {"v": "TWICE(21)"}).first()["v"] == 42
+    formula.FUNCTIONS.pop("TWICE")
+
+
+def test_watch_folder(spark, tmp_path):
+    """Files that come between two runs are seen once each."""
+    from gridloom.streaming import windows
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, n in (("a", 1), ("b", 2)):
+        (folder / f"{name}.csv").write_text(f"{name},{n}\n")
+        windows.watch_folder(spark, str(folder), "name string, n int", lambda df: df.withColumn("n", F.col("n") * 10), str(tmp_path / "out"), str(tmp_path / "state"), "csv")
+        assert spark.read.parquet(str(tmp_path / "out")).count() == n
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 10), ("b", 20)]
+
+
+def test_windows_on_a_stream(spark, tmp_path):
+    """The windows of a stream with a watermark are those of the table, but for the last, which stays open."""
+    from gridloom.streaming import windows
+
+    rows = spark.sql("SELECT timestamp'2020-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id * 10) AS ts, 'x' AS event_type, double(id) AS value FROM range(40)")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = windows.windowed_counts(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("windowed").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+    q.awaitTermination()
+    got = sorted(tuple(r) for r in spark.table("windowed").collect())
+    want = sorted(tuple(r) for r in windows.windowed_counts(rows).collect())
+    assert got and got == want[: len(got)] and len(got) >= len(want) - 2
