@@ -10,18 +10,25 @@ on until none is left: for each key of the universe the first filter that it fai
 from __future__ import annotations
 
 import math
+import pickle
+from collections import defaultdict
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, work_dir
+from .files import reading, writing
 
-#: Bits that all filters of a cascade may have together: what is sent to each task at most (16 MB).
+#: Bits that the filters of one shard have together at most, by estimate: a task holds two shards' (32 MB).
 MOST_BITS = 1 << 27
+#: Candidate keys that a task looks up together, so that it reads each shard once for them.
+MOST_KEYS = 1 << 18
 #: The chance by which a later filter is passed wrongly.
 LATER = 0.5
 
@@ -69,8 +76,6 @@ def _fill(keys: DataFrame, level: int, chance: float, n: int) -> Filter:
     """The filter of n keys. Tasks set bits of their own; equal words meet pre-aggregated."""
     hashes = max(1, round(-math.log2(chance)))
     bits = max(64, math.ceil(n * hashes / math.log(2)))
-    if bits > MOST_BITS:
-        raise OverflowError(f"a filter of {n} keys needs {bits} bits, more than {MOST_BITS}")
 
     def run(batches):
         for b in batches:
@@ -82,7 +87,7 @@ def _fill(keys: DataFrame, level: int, chance: float, n: int) -> Filter:
 
     words = np.zeros(-(-bits // 64), np.uint64)
     for r in keys.mapInArrow(run, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toLocalIterator():
-        words[r["word"]] = np.uint64(r["value"] & 0xFFFFFFFFFFFFFFFF)  # MOST_BITS in all
+        words[r["word"]] = np.uint64(r["value"] & 0xFFFFFFFFFFFFFFFF)  # at most about MOST_BITS
     return Filter(level, bits, hashes, words)
 
 
@@ -98,8 +103,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     """The cascade of distinct listed keys (column key) over a universe of distinct keys.
 
     Its size follows the listed keys: the first filter is passed wrongly by about as many keys of
-    the universe as there are listed ones. OverflowError beyond MOST_BITS; see judge_urls for the way
-    beyond. No listed keys: an empty cascade, which holds nothing.
+    the universe as there are listed ones. No listed keys: an empty cascade, which holds nothing.
     """
     listed = materialize(listed.select("key").distinct(), "listed")
     others = materialize(universe.select("key").join(listed, "key", "left_anti"), "others")
@@ -110,13 +114,40 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     while sizes[0]:
         f = _fill(sets[0], len(filters), chance, sizes[0])
         filters.append(f)
-        if sum(x.bits for x in filters) > MOST_BITS:
-            raise OverflowError(f"the filters need more than {MOST_BITS} bits")
         wrong = materialize(_passing(sets[1], f), "wrong")
         sets, sizes, chance = [wrong, sets[0]], [wrong.count(), sizes[0]], LATER
     return Cascade(tuple(filters))
 
 
+def shards_for(listed: int, universe: int) -> int:
+    """Shards that keep each cascade within MOST_BITS, with room for twice the estimate."""
+    first = max(1.0, math.log2(max(1, universe) / max(1, listed)) + 1) / math.log(2)
+    later = 1 / math.log(2) / (1 - math.sqrt(0.5))  # each filter has about 0.7 times the keys of the one before
+    return max(1, math.ceil(2 * listed * (first + later) / MOST_BITS))
+
+
+def shard_of(key: str, shards: int) -> int:
+    """pmod(xxhash64(key), shards) of Spark."""
+    h = xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), seed=42)
+    return (h - (h >> 63 << 64)) % shards
+
+
+def write_cascades(lists: dict[str, DataFrame], universe: DataFrame, folder: str) -> int:
+    """Writes a cascade for each list (distinct keys, by name) and shard; returns the number of shards."""
+    shards = shards_for(max(x.count() for x in lists.values()), universe.count())
+    for s in range(shards):
+        here = F.pmod(F.xxhash64("key"), F.lit(shards)) == s
+        for name, listed in lists.items():
+            with writing(f"{folder}/{name}-{s}") as out:
+                out.write(pickle.dumps(build_cascade(listed.where(here), universe.where(here))))
+    return shards
+
+
+def _load(path: str) -> Cascade:
+    with reading(path) as f:
+        return pickle.loads(f.read())
+
+
 def _candidates(urls: DataFrame, labels: list[int], lengths: list[int]) -> DataFrame:
     """urls (page_id, host, path) with keys: array of (rule, key), the longest first."""
     parts = F.split("host", r"\.")
@@ -136,8 +167,8 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str
     are empty. A rule fits its host and all subdomains if the URL's path starts with the rule's. The
     rule with most characters wins, of equally long ones that with the longer host; a pair of host and
     path that is listed as both is blocked. Without a fitting rule: rule null and the default. Null URLs
-    have empty host and path; repeated rows stay; an empty table gives no rows. Lists too long for cascades of MOST_BITS are joined on
-    their keys instead, with the same result.
+    have empty host and path; repeated rows stay; an empty table gives no rows. Lists of any length go
+    through cascades, in shards.
     """
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame(rules, "verdict string, host string, path string")
@@ -150,36 +181,35 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str
     keyed = _candidates(urls, labels, lengths)
     block = rules.where("verdict = 'block'").select("key").distinct()
     allow = rules.where("verdict = 'allow'").select("key").distinct().join(block, "key", "left_anti")
-    try:
-        universe = materialize(keyed.select(F.explode("keys").alias("key")).distinct(), "universe")
-        cascades = {"block": build_cascade(block, universe), "allow": build_cascade(allow, universe)}
-    except OverflowError:
-        return _joined(keyed, block, allow, default)
+    universe = materialize(keyed.select(F.explode("keys").alias("key")).distinct(), "universe")
+    lists = {"block": materialize(block, "block"), "allow": materialize(allow, "allow")}
+    folder = work_dir(spark, "cascades")
+    shards = write_cascades(lists, universe, folder)
 
     def run(batches):
+        load, part, size = lru_cache(2)(_load), [], 0
+
+        def listed(keys: set[str]) -> dict[str, str]:
+            """The verdict of each key that is on a list."""
+            by = defaultdict(list)
+            for k in keys:
+                by[shard_of(k, shards)].append(k)
+            return {k: v for s, ks in by.items() for v in ("block", "allow") for c in (load(f"{folder}/{v}-{s}"),) for k in ks if k in c}
+
+        def judged():
+            rows = [b.column("keys").to_pylist() for b in part]
+            known = listed({k for b in rows for keys in b for k in keys})
+            for b, lists in zip(part, rows):
+                rule = [next((k for k in keys if k in known), None) for keys in lists]
+                verdict = [default if k is None else known[k] for k in rule]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "host", "path")), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
+
         for b in batches:
-            known: dict[str, str | None] = {}
-            rule, verdict = [], []
-            for keys in b.column("keys").to_pylist():
-                hit = None
-                for k in keys:
-                    if k not in known:
-                        known[k] = next((v for v, c in cascades.items() if k in c), None)
-                    if known[k]:
-                        hit = k
-                        break
-                rule.append(hit)
-                verdict.append(known[hit] if hit is not None else default)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "host", "path")), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
+            part.append(b)
+            size += pc.sum(pc.list_value_length(b.column("keys"))).as_py() or 0
+            if size >= MOST_KEYS:
+                yield from judged()
+                part, size = [], 0
+        yield from judged()
 
     return keyed.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
-
-
-def _joined(keyed: DataFrame, block: DataFrame, allow: DataFrame, default: str) -> DataFrame:
-    """The way beyond MOST_BITS: distinct key lists are joined to the lists, then back to the rows."""
-    listed = block.withColumn("v", F.lit("block")).union(allow.withColumn("v", F.lit("allow")))
-    lists = keyed.select("keys").distinct()
-    hits = lists.select("keys", F.posexplode("keys").alias("at", "key")).join(listed, "key")
-    best = hits.groupBy("keys").agg(F.min(F.struct("at", "key", "v")).alias("best"))
-    rows = keyed.join(best, "keys", "left")
-    return rows.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.v", F.lit(default)).alias("verdict"))

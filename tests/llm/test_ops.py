@@ -429,7 +429,8 @@ def test_url_rules(spark, monkeypatch):
     assert sorted(map(str, map(tuple, got.collect()))) == want
     assert url_filter.judge_urls(spark, pages.limit(0), RULES).count() == 0
     assert {r["verdict"] for r in url_filter.judge_urls(spark, pages, spark.createDataFrame([], "verdict string, host string, path string")).collect()} == {"allow"}
-    monkeypatch.setattr(url_filter, "MOST_BITS", 10)  # beyond it keys are joined
+    monkeypatch.setattr(url_filter, "MOST_BITS", 40)  # beyond it keys are split into shards
+    assert url_filter.shards_for(3, 20) > 1
     assert sorted(map(str, map(tuple, url_filter.judge_urls(spark, pages, RULES).collect()))) == want
 
 
