@@ -126,7 +126,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     filler = "_" * (1 + max(map(len, carry), default=0))  # a struct needs a column; its name clashes with none
     other = F.struct(F.lit(0).alias(filler), *[docs[c] for c in carry])
     keyed = docs.select(docs[id_col].cast("long").alias("doc_id"), small_text(docs[text_col]).alias("text"), other.alias("other"))
-    keyed = keyed.withColumn("row", F.xxhash64("doc_id", "text", "other"))
+    # row finds anchors; rows that share one by chance differ in row2 and only share candidate places
+    keyed = keyed.withColumns({"row": F.xxhash64("doc_id", "text", "other"), "row2": F.xxhash64(F.lit(1), "other", "text", "doc_id")})
     cover = np.array(COVER)
 
     def anchors(batches):
@@ -157,6 +158,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 n.append(len(w))
                 if at[i].is_valid and len(w) >= window:
                     p = at[i].values.to_numpy().astype(np.int64)
+                    p = p[p < len(w)]
                     s = np.zeros(len(w) + 1, np.int64)  # starts whose window holds the anchor
                     np.add.at(s, np.maximum(p - (PERIOD - 1), 0), 1)
                     np.add.at(s, p + 1, -1)
@@ -167,8 +169,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*same, pa.array(n, pa.int32()), pa.array(starts, pa.list_(pa.int32()))], names=["doc_id", "other", "row", "copies", "text", "n_words", "near"])
 
     def candidate_windows(shared: DataFrame) -> DataFrame:
-        once = keyed.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("other").alias("other"), F.first("text").alias("text"), F.count("*").alias("copies"))
-        rows = once.join(shared, "row", "left").select("doc_id", "other", "row", "copies", "text", "anchors")
+        """The rows, each once, under new numbers: from here on row is unique and not a hash."""
+        once = keyed.groupBy("row", "row2").agg(F.first("doc_id").alias("doc_id"), F.first("other").alias("other"), F.first("text").alias("text"), F.count("*").alias("copies"))
+        keys = keyed.select("row", "row2").distinct().join(shared, "row")
+        rows = once.join(keys, ["row", "row2"], "left").withColumn("row", F.monotonically_increasing_id())
+        rows = rows.select("doc_id", "other", "row", "copies", "text", "anchors")
         schema = f"doc_id long, other {dict(keyed.dtypes)['other']}, row long, copies long, text string, n_words int, near array<int>"
         return materialize(rows.mapInArrow(candidates, schema), "windows")
 

@@ -161,6 +161,15 @@ def test_substring(spark, texts):
     assert substring.substring_dedup(make_docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_rows_of_one_hash(spark, texts, monkeypatch):
+    """Rows whose first hashes collide stay rows of their own, with their own texts and windows."""
+    real, many = F.xxhash64, texts + [texts[0]]
+    monkeypatch.setattr(substring.F, "xxhash64", lambda *c: F.lit(7).cast("long") if isinstance(c[0], str) and c[0] == "doc_id" else real(*c))
+    got = substring.substring_dedup(make_docs(spark, many)).collect()
+    want = plain_substring([(t or "").encode().split() for t in many])
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == sorted((i, *w) for i, w in enumerate(want))
+
+
 def test_cover_holds_every_shift():
     assert {(a - b) % substring.PERIOD for a in substring.COVER for b in substring.COVER} == set(range(substring.PERIOD))
 
