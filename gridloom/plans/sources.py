@@ -61,6 +61,29 @@ def xlsx_scan(t: Tables):
     return files.read_xlsx(t.spark, path).where("col = 1").select("sheet", "row", "text")
 
 
+def workbook_round_trip(t: Tables, kind: str, read):
+    """customer as workbooks, written and read back by tasks; each row from its cells."""
+    path = folder(t, kind)
+    files.write_workbooks(t.customer.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), path, kind, rows_each=10_000)
+
+    def at(col: int, what: str):
+        return F.max(F.when(F.col("col") == col, F.col(what)))
+
+    cells = read(t.spark, path).where("row > 1").groupBy("path", "row")
+    rows = cells.agg(at(1, "num").cast("long").alias("c_custkey"), at(2, "text").alias("c_name"), at(3, "num").alias("c_acctbal"), at(4, "text").alias("c_mktsegment"))
+    return rows.drop("path", "row")
+
+
+@query("SELECT c_custkey::BIGINT AS c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def xlsx_round_trip(t: Tables):
+    return workbook_round_trip(t, "xlsx", files.read_xlsx)
+
+
+@query("SELECT c_custkey::BIGINT AS c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def ods_round_trip(t: Tables):
+    return workbook_round_trip(t, "ods", files.read_ods)
+
+
 @query(f"""WITH l AS ({MARKDOWN_LINES}) SELECT doc_id, string_agg(CASE kind WHEN 'heading' THEN repeat('#', level::INT) || ' ' || text WHEN 'item' THEN '- ' || text ELSE text END, chr(10) ORDER BY idx) AS markdown FROM l GROUP BY doc_id""")
 def markdown_write(t: Tables):
     return files.to_markdown(text.markdown_blocks(t.documents, "doc_id", "text"), "doc_id")

@@ -43,12 +43,6 @@ def doc_grammar_doublespace(t: Tables):
     return t.documents.select("doc_id", text.grammar_counts(F.col("text"))["double_space"].cast("long").alias("n"))
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])[Aa] [aeiouAEIOU]'))::BIGINT AS a_vowel, len(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])[Aa]n [b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z]'))::BIGINT AS an_consonant FROM documents WHERE lang = 'en'")
-def doc_grammar_aan(t: Tables):
-    g = text.grammar_counts(F.col("text"))
-    return t.documents.where("lang = 'en'").select("doc_id", g["a_vowel"].cast("long").alias("a_vowel"), g["an_consonant"].cast("long").alias("an_consonant"))
-
-
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])[Aa] [aeiouAEIOU]'))::BIGINT AS a_vowel, len(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])[Aa]n [b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z]'))::BIGINT AS an_consonant FROM documents")
 def doc_grammar_aan_all(t: Tables):
     g = text.grammar_counts(F.col("text"))
@@ -133,12 +127,6 @@ def doc_sha256(t: Tables):
     return t.documents.select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
-@query("SELECT doc_id, base64(encode(left(text, 100))) AS b64, decode(from_base64(base64(encode(left(text, 100))))) = left(text, 100) AS same FROM documents")
-def doc_base64(t: Tables):
-    b = F.base64(F.encode(F.left(F.col("text"), F.lit(100)), "UTF-8"))
-    return t.documents.select("doc_id", F.regexp_replace(b, r"\s", "").alias("b64"), (F.decode(F.unbase64(b), "UTF-8") == F.left(F.col("text"), F.lit(100))).alias("same"))
-
-
 @query("SELECT doc_id, sha256(base64(encode(text))) AS digest, decode(from_base64(base64(encode(text)))) = text AS same FROM documents")
 def doc_base64_whole(t: Tables):
     b = F.base64(F.encode("text", "UTF-8"))
@@ -231,11 +219,6 @@ def doc_autocomplete(t: Tables):
     return text.word_counts(t.documents, "text").where(F.startswith("word", F.lit("th"))).select("word").orderBy("word").limit(64)
 
 
-@query("SELECT doc_id, 'From: ' || source || '@example.com' || chr(13) || chr(10) || 'Subject: ' || left(text, 20) AS head FROM documents")
-def mail_headers(t: Tables):
-    return t.documents.select("doc_id", F.concat(F.lit("From: "), "source", F.lit("@example.com\r\nSubject: "), F.left(F.col("text"), F.lit(20))).alias("head"))
-
-
 @query("SELECT doc_id, sha256('To: archive@example.com' || chr(13) || chr(10) || 'From: ' || source || '@example.com' || chr(13) || chr(10) || 'Subject: Document ' || doc_id || chr(13) || chr(10) || 'Date: Thu, 01 Jan 1970 00:00:00 +0000' || chr(13) || chr(10) || chr(13) || chr(10) || text) AS message FROM documents")
 def mail_messages(t: Tables):
     sender, subject = F.concat("source", F.lit("@example.com")), F.concat(F.lit("Document "), "doc_id")

@@ -179,3 +179,33 @@ def test_windows_on_a_stream(spark, tmp_path):
     got = sorted(tuple(r) for r in spark.table("windowed").collect())
     want = sorted(tuple(r) for r in windows.windowed_counts(rows).collect())
     assert got and got == want[: len(got)] and len(got) >= len(want) - 2
+
+
+def test_workbooks(spark, tmp_path):
+    """Sheets of a table, in both formats: nulls, booleans, odd texts, numbers at full precision, several files."""
+    rows = [(1, " a  b\tc\n<&>", 0.1 + 0.2, True), (2, None, None, None), (3, "", float("inf"), False), (4, "=A1", -1e300, None), (5, "x\0y", 5.0, None)]
+    df = spark.createDataFrame(rows, "k long, s string, x double, b boolean").coalesce(1)
+    for kind, read in (("xlsx", files.read_xlsx), ("ods", files.read_ods)):
+        path = str(tmp_path / kind)
+        assert files.write_workbooks(df, path, kind, rows_each=2) == 5
+        got = read(spark, path).where("row > 1").collect()
+        cell = {(2 * int(r["path"].rpartition("-")[2].partition(".")[0]) + r["row"] - 1, r["col"]): r for r in got}
+        assert [cell[i, 1]["num"] for i in range(1, 6)] == [1, 2, 3, 4, 5]
+        assert cell[1, 2]["text"] == " a  b\tc\n<&>" and cell[1, 3]["num"] == 0.1 + 0.2 and cell[1, 4]["text"] == "1" and cell[3, 4]["text"] == "0"
+        assert (2, 2) not in cell and (2, 3) not in cell and cell[3, 3]["text"] == "inf" and cell[4, 2]["formula"] == "A1" and cell[4, 3]["num"] == -1e300
+        assert cell[5, 2]["text"] == "x�y" and cell[3, 2]["text"] == ""
+    assert files.write_workbooks(df.limit(0), str(tmp_path / "none"), "ods") == 0
+
+
+def test_ods_repeats():
+    """Repeated cells and rows count; an empty rest of a million rows costs nothing."""
+    body = files.ods_bytes({"T": [[None, 7], [None], [True]]})
+    import io
+    import zipfile
+
+    z = zipfile.ZipFile(io.BytesIO(body))
+    xml = z.read("content.xml").decode().replace("<table:table-cell/>", '<table:table-cell table:number-columns-repeated="3"/>', 1).replace("<table:table-row><table:table-cell/></table:table-row>", '<table:table-row table:number-rows-repeated="1000000"><table:table-cell/></table:table-row>')
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as w:
+        w.writestr("content.xml", xml)
+    assert [c[1:5] for c in files.ods_cells(out.getvalue())] == [(1, 4, "num", 7.0), (1000002, 1, "bool", None)]
